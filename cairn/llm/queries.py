@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bad_pairs, mixture, same_look, survivor, tokens
+from cairn.llm import bad_pairs, mixture, personal, same_look, survivor, tokens
 from cairn.session import table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict:
         "p3_found": lambda s, d: bad_pairs.defects(t(s, d, "gate_blame")),
         "p6_ids": lambda s, d: tokens.encoded(t(s, d, "documents")),
         "p7_mix": lambda s, d: mixture.mixture(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p8_found": lambda s, d: personal.personal(t(s, d, "documents")),
+        "p8_masked": lambda s, d: personal.masked(t(s, d, "documents").select("doc_id", "text")),
         "p7_shares": lambda s, d: mixture.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
     }
 
