@@ -144,7 +144,7 @@ _EMAIL = regex.compile(r"(?<![\w.+@-])[\w](?:[\w.+%-]*[\w])?@(?:[\w](?:[\w-]*[\w
 _TOWN = r"\p{Lu}[\p{L}'’-]+(?:[ ](?:\p{Lu}[\p{L}'’-]+|am|an|der|de|del|la|las|los|bei|upon|on)){0,3}"
 _POST = r"\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]?[ ]?\d[A-Z]{2}"
 _JOIN = r"(?:,?[ ]|,?[ ]?\r?\n[ ]*)"  # of a postcode, which may stand on the next line
-_PLACE = rf"(?:{_JOIN}(?:{_POST})[ ](?P<t1>{_TOWN})|,[ \r\n]+(?P<t2>{_TOWN})(?:,?{_JOIN}(?:{_POST})\b)?|{_JOIN}(?:{_POST})\b)?"
+_PLACE = rf"(?:{_JOIN}(?:{_POST})[ ](?P<t1>{_TOWN})|,[ \r\n]+(?P<t2>{_TOWN})(?:,?{_JOIN}(?:{_POST})\b(?![ ]?\d))?|,?[ ](?:{_POST})\b(?![ ]?\d))?"
 _EN = regex.compile(
     rf"(?<![\w.,#-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite)[ ]\d+[A-Za-z]?,?[ \r\n]+)?\d{{1,4}}[A-Za-z]?[ ]+(?:\p{{Lu}}[\p{{L}}]*(?:['’]\p{{L}}+)?[ ]){{1,3}}(?:{STREETS_AFTER})(?!\w)"
     rf"(?:,[ ](?:Flat|Apt\.?|Unit)[ ]\d+[A-Za-z]?)?{_PLACE}"

@@ -35,18 +35,23 @@ LOOK_ALIKES = {
 }
 #: Code points that show nothing (default ignorable, without those that order or join what is shown).
 UNSEEN = (
-    (0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180F), (0x200B, 0x200C),
+    (0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180F), (0x200B, 0x200B),
     (0x200E, 0x200F), (0x202A, 0x202D), (0x2060, 0x206F), (0xFE00, 0xFE0E), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB),
     (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0100, 0xE01EF),
 )
 # Between these a joiner or selector shows: emoji sequences, and scripts whose letters join.
-PICTURES = "©®‼-㊙\\x{1F000}-\\x{1FAFF}️#*0-9"
-JOINING = "؀-ࣿऀ-෿"
+PICTURES = (
+    r"#*0-9©®‼⁉™ℹ↔-↪⌚-⏿Ⓜ▪-➿⤴⤵⬅-⭕"
+    r"〰〽㊗㊙️\x{1F000}-\x{1FAFF}"
+)
+JOINING = r"؀-ࣿऀ-෿"
+#: (sign, what must stand before it, what must stand behind it) for the sign to show.
 CONTEXT = (
-    ("‍", rf"(?<![{PICTURES}{JOINING}])‍+|‍+(?![{PICTURES}{JOINING}])"),
-    ("‌", rf"(?<![{JOINING}])‌+|‌+(?![{JOINING}])"),
-    ("️", rf"(?<![{PICTURES}])️+"),
+    ("‍", f"{PICTURES}{JOINING}", f"(?=[{PICTURES}{JOINING}])"),
+    ("‌", JOINING, f"(?=[{JOINING}])"),
+    ("️", PICTURES, ""),
 )
+_KEPT = "﷐"  # no character; stands for a sign that shows
 #: Printable ASCII with nothing to replace: such a text is its own form.
 PLAIN = r"^[\x20-\x7e]*$"
 
@@ -68,8 +73,19 @@ def _shown(ch: str) -> str:
 
 
 @cache
-def mapping_rows() -> list[tuple[str, list[dict]]]:
-    """(char, pieces): each piece with its combining class; only where something changes."""
+def _seconds() -> frozenset[str]:
+    """Characters of class 0 that join the base before them: vowels and finals of Hangul and some vowel signs."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for code in range(0x10000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.combining(chr(int(parts[1], 16))) == 0:
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+@cache
+def mapping_rows() -> list[tuple[str, list[tuple[str, int, bool]]]]:
+    """(char, pieces): each piece, its combining class and whether it begins a block; only where something changes."""
     unseen = {c for a, b in UNSEEN for c in range(a, b + 1)}
     out = []
     for code in range(sys.maxunicode + 1):
@@ -85,14 +101,14 @@ def mapping_rows() -> list[tuple[str, list[dict]]]:
             if step == text:
                 break
             text = step
-        if text != ch or unicodedata.combining(ch):
-            out.append((ch, [(p, unicodedata.combining(p)) for p in text]))
+        if text != ch or unicodedata.combining(ch) or ch in _seconds():
+            out.append((ch, [(p, unicodedata.combining(p), not unicodedata.combining(p) and p not in _seconds()) for p in text]))
     return out
 
 
 def mapping(spark: SparkSession) -> DataFrame:
     """The mapping table: one row for each code point that is not shown as itself."""
-    return spark.createDataFrame(mapping_rows(), "ch string, pieces array<struct<piece:string,class:int>>")
+    return spark.createDataFrame(mapping_rows(), "ch string, pieces array<struct<piece:string,class:int,starts:boolean>>")
 
 
 @F.pandas_udf(T.StringType())
@@ -112,23 +128,26 @@ def one_form(texts: DataFrame, column: str = "text") -> DataFrame:
     plain = different.filter(F.col("text").rlike(PLAIN)).select("text", F.col("text").alias("form"))
     odd = different.filter(~F.col("text").rlike(PLAIN))
     seen = F.col("text")
-    for sign, pattern in CONTEXT:
-        seen = F.when(F.contains(seen, F.lit(sign)), F.regexp_replace(seen, pattern, "")).otherwise(seen)
-    points = odd.select(
-        F.xxhash64("text").alias("h1"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("h2"),
-        F.posexplode(F.split(seen, "")).alias("pos", "ch"),
-    )
+    for sign, before, behind in CONTEXT:
+        kept = F.regexp_replace(seen, f"([{before}]){sign}+{behind}", f"$1{_KEPT}")
+        seen = F.when(F.contains(seen, F.lit(sign)), F.translate(kept, f"{_KEPT}{sign}", sign)).otherwise(seen)
+    # 96 bits of hash stand for the text; they and the points are made before the rows are
+    keyed = odd.select("text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    points = keyed.withColumn("points", F.split(seen, "")).select("h1", "h2", F.posexplode("points").alias("pos", "ch"))
     pieces = (
         points.join(F.broadcast(mapping(spark)), "ch", "left")
-        .withColumn("pieces", F.coalesce("pieces", F.array(F.struct(F.col("ch").alias("piece"), F.lit(0).alias("class")))))
+        .withColumn("pieces", F.coalesce("pieces", F.array(F.struct(F.col("ch").alias("piece"), F.lit(0).alias("class"), F.lit(True).alias("starts")))))
         .select("h1", "h2", "pos", F.posexplode("pieces").alias("sub", "p"))
-        .select("h1", "h2", "pos", "sub", "p.piece", "p.class")
+        .select("h1", "h2", "pos", "sub", "p.*")
     )
     by_place = Window.partitionBy("h1", "h2").orderBy("pos", "sub")
-    blocks = pieces.withColumn("block", F.sum((F.col("class") == 0).cast("int")).over(by_place))
+    # marks are put in order within a run that a character of class 0 begins; a block may hold several
+    blocks = pieces.withColumn("block", F.sum(F.col("starts").cast("int")).over(by_place)).withColumn(
+        "run", F.sum((F.col("class") == 0).cast("int")).over(by_place)
+    )
     ordered = (
         blocks.groupBy("h1", "h2", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("class", "pos", "sub", "piece"))).alias("marks"))
+        .agg(F.sort_array(F.collect_list(F.struct("run", "class", "pos", "sub", "piece"))).alias("marks"))
         .withColumn("written", F.array_join("marks.piece", ""))
         .withColumn("marked", F.size("marks") > 1)
     )
@@ -140,7 +159,6 @@ def one_form(texts: DataFrame, column: str = "text") -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("whole", "written").alias("whole")))).alias("all"))
         .select("h1", "h2", F.array_join("all.whole", "").alias("form"))
     )
-    keyed = odd.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.reverse("text"), F.lit(1)))
     changed = keyed.join(rebuilt, ["h1", "h2"], "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
     return plain.unionByName(changed)
 
