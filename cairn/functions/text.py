@@ -124,31 +124,28 @@ def stamp_day(c: Column) -> Column:
     """The day of a stamp as a date where the calendar has it."""
     p = stamp_parts(c)
     text = F.format_string("%04d-%02d-%02d", p[0], p[1], p[2])
-    return F.when(p.isNotNull() & (p[0] < 10000) & (p[1] < 100) & (p[2] < 100), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(p.isNotNull() & (p[0] < 10000) & (p[1] < 100) & (p[2] < 100), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two words."""
-    shorter = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda n: (n <= shorter) & (F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n)))
-    return F.size(same)
+def _rooted(a: Column, b: Column, root: int) -> Column:
+    """A common root of ``root`` letters and tails of three or fewer, as one comparison of two prefixes."""
+    n = F.greatest(F.lit(root), F.greatest(F.length(a), F.length(b)) - TAIL)
+    return (a == b) | (F.left(a, n) == F.left(b, n))
 
 
 def same_stem(a: Column, b: Column) -> Column:
     """TXT-13: equal, or a common root of five or more and tails of three or fewer."""
-    root = common_prefix(a, b)
-    return (a == b) | ((root >= ROOT) & (F.greatest(F.length(a), F.length(b)) - root <= TAIL))
+    return _rooted(a, b, ROOT)
 
 
 def kin(a: Column, b: Column) -> Column:
     """TXT-14: equal, or a common prefix of three or more and tails of three or fewer."""
-    root = common_prefix(a, b)
-    return (a == b) | ((root >= 3) & (F.greatest(F.length(a), F.length(b)) - root <= TAIL))
+    return _rooted(a, b, CONTENT)
 
 
 def stem_held(word: Column, given: Column) -> Column:
-    """Some word of an array has the word's stem; the five-letter root is compared first."""
-    return F.exists(given, lambda g: (g == word) | ((F.left(g, F.lit(ROOT)) == F.left(word, F.lit(ROOT))) & same_stem(g, word)))
+    """Some word of an array has the word's stem."""
+    return F.exists(given, lambda g: same_stem(g, word))
 
 
 _NUMBER = re.compile(r"(?<![\w.,])(-?)(\d+(?:[.,]\d+)?)(?![\w.,]*[.,]\d)")

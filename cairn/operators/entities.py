@@ -20,32 +20,43 @@ def line_tokens(rows: DataFrame, sid: str = "sid") -> DataFrame:
 
 def ngram_counts(lines: DataFrame, longest: int = LONGEST, least: int = MIN_PAIR) -> DataFrame:
     """(gram, size, n): runs of 1 to ``longest`` words that occur often enough; summed before the shuffle."""
-    sized = [
-        F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), lambda i, n=n: F.struct(F.array_join(F.slice("toks", i, F.lit(n)), " ").alias("gram"), F.lit(n).alias("size"))))
-        .otherwise(F.array().cast("array<struct<gram:string,size:int>>")) for n in range(1, longest + 1)
-    ]
+    def runs(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), lambda i: F.struct(F.array_join(F.slice("toks", i, F.lit(n)), " ").alias("gram"), F.lit(n).alias("size")))
+        return F.when(F.size("toks") >= n, at).otherwise(F.array().cast("array<struct<gram:string,size:int>>"))
+
+    sized = [runs(n) for n in range(1, longest + 1)]
     each = lines.select(F.explode(F.concat(*sized)).alias("g")).select("g.gram", "g.size")
     return each.groupBy("gram", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
 def collocations(lines: DataFrame, longest: int = 3, least: int = MIN_PAIR, pmi: float = MIN_PMI) -> DataFrame:
-    """AG-13: (gram, size, n, cohesion) of runs whose weakest split is still cohesive.
+    """AG-13: (gram, size, n, cohesion) of the phrases of a corpus, all from one table of counts.
 
-    The cohesion of a run is the least, over its splits, of ln(p(run) / (p(left) p(right))).
+    A phrase is cohesive (over every split ln(p(run) / (p(left) p(right))) is at least ``pmi``), sticky (every split
+    makes up more than half of one of its sides), free (no word stands beside it in more than half of its places) and
+    maximal (no longer phrase holds it).
     """
-    counts = checkpointed(ngram_counts(lines, longest, least))
+    counts = checkpointed(ngram_counts(lines, longest + 1, min(2, least)))
     total = lines.agg(F.sum(F.size("toks")).cast("double").alias("total"))
     words = F.split("gram", " ")
-    splits = counts.filter("size > 1").select("gram", "size", "n", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("cut")).select(
-        "gram", "size", "n", F.array_join(F.slice(words, F.lit(1), F.col("cut")), " ").alias("left"),
-        F.array_join(F.slice(words, F.col("cut") + 1, F.col("size") - F.col("cut")), " ").alias("right"),
-    )
+    cut = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    splits = counts.filter((F.col("size") > 1) & (F.col("size") <= longest) & (F.col("n") >= least)).select(
+        "gram", "size", "n", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("cut")
+    ).select("gram", "size", "n", cut(F.lit(1), F.col("cut")).alias("left"), cut(F.col("cut") + 1, F.col("size") - F.col("cut")).alias("right"))
     l = counts.select(F.col("gram").alias("left"), F.col("n").alias("nl"))
     r = counts.select(F.col("gram").alias("right"), F.col("n").alias("nr"))
     scored = splits.join(l, "left").join(r, "right").join(F.broadcast(total), F.lit(True))
     value = F.log(F.col("n") * F.col("total") / (F.col("nl") * F.col("nr")))
-    best = scored.groupBy("gram", "size", "n").agg(F.round(F.min(value), 6).alias("cohesion"))
-    return best.filter(F.col("cohesion") >= pmi)
+    share = F.greatest(F.col("n") / F.col("nl"), F.col("n") / F.col("nr"))
+    best = scored.groupBy("gram", "size", "n").agg(F.round(F.min(value), 6).alias("cohesion"), F.min(share).alias("share")).filter(
+        (F.col("cohesion") >= pmi) & (F.col("share") > 0.5)
+    )
+    longer = counts.filter("size > 2").select(F.explode(F.array(cut(F.lit(1), F.col("size") - 1), cut(F.lit(2), F.col("size") - 1))).alias("gram"), F.col("n").alias("beside"))
+    crowded = longer.groupBy("gram").agg(F.max("beside").alias("beside"))
+    free = checkpointed(best.join(crowded, "gram", "left").filter(2 * F.coalesce("beside", F.lit(0)) <= F.col("n")).select("gram", "size", "n", "cohesion"))
+    inner = free.filter("size > 2").select(F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda k: F.transform(
+        F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))).alias("gram")).distinct()
+    return free.join(inner, "gram", "left_anti")
 
 
 def mentions(lines: DataFrame, names: DataFrame) -> DataFrame:

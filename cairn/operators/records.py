@@ -218,3 +218,33 @@ def status(records: DataFrame, identities: DataFrame) -> DataFrame:
     facts = records.agg(F.count(F.lit(1)).alias("facts"), F.sum(F.when(F.col("source") == "#inference", 1).otherwise(0)).alias("derived"),
                         F.round(F.sum(F.when(~F.isnan("trust"), F.col("trust"))), 4).alias("trust"))
     return facts.join(F.broadcast(identities.agg(F.count(F.lit(1)).alias("concepts"))), F.lit(True))
+
+
+def extremes(measured: DataFrame, least_sources: int = 3) -> DataFrame:
+    """AG-11: (head, unit, high, high_source, low, low_source) of each head that enough sources write, in its most used unit.
+
+    ``measured``: (head, source, low, unit).  Heads whose values are all equal have no row.
+    """
+    known = measured.filter("unit is not null and low is not null")
+    wide = known.groupBy("head").agg(F.count_distinct("source").alias("sources")).filter(F.col("sources") >= least_sources).select("head")
+    used = known.groupBy("head", "unit").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("low", "source")).alias("hi"), F.min(F.struct("low", "source")).alias("lo")
+    )
+    best = used.groupBy("head").agg(F.min(F.struct((-F.col("n")).alias("m"), "unit", "hi", "lo")).alias("b")).join(wide, "head")
+    return best.filter("b.m <= -3 and b.hi.low <> b.lo.low").select(
+        "head", F.col("b.unit").alias("unit"), F.col("b.hi.low").alias("high"), F.col("b.hi.source").alias("high_source"),
+        F.col("b.lo.low").alias("low"), F.col("b.lo.source").alias("low_source"),
+    )
+
+
+def compared(values: DataFrame, first: str, second: str) -> DataFrame:
+    """AG-12: (head, sign, first_values, second_values) for two sources that share a head.
+
+    ' = ' where their numbers are equal, ' ≠ ' where both have numbers and differ, ' · ' otherwise.
+    ``values``: (head, source, value).
+    """
+    digits = lambda c: F.array_sort(F.array_distinct(F.flatten(F.transform(c, lambda v: F.regexp_extract_all(v, F.lit(r"\d+"), 0)))))
+    part = lambda s, a: values.filter(F.col("source") == s).groupBy("head").agg(F.array_sort(F.collect_set("value")).alias(a))
+    both = part(first, "a").join(part(second, "b"), "head").withColumns({"da": digits(F.col("a")), "db": digits(F.col("b"))})
+    sign = F.when((F.size("da") > 0) & (F.col("da") == F.col("db")), " = ").when((F.size("da") > 0) & (F.size("db") > 0), " ≠ ").otherwise(" · ")
+    return both.select("head", sign.alias("sign"), F.array_join("a", "; ").alias("first_values"), F.array_join("b", "; ").alias("second_values"))
