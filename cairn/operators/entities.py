@@ -101,34 +101,36 @@ def both_ways(links: DataFrame) -> DataFrame:
 
 
 def pagerank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """GR-20: (entity, score) of a walk that returns to its seeds; edges weigh their G².
+    """GR-20: (walk, entity, score) of walks that return to their seeds; edges weigh their G².
 
-    A round joins the scores with the edges and sums before its shuffle; every fifth round cuts the lineage in the checkpoint folder.
+    ``seeds``: (walk, entity); all walks go together.  A round is one join with the edges and one sum, partly made
+    before its shuffle; every fifth round cuts the lineage in the checkpoint folder.  Seeds without an edge are dropped.
     """
     walk = both_ways(links)
     out = walk.groupBy("src").agg(F.sum("g2").alias("all"))
-    step = checkpointed(walk.join(out, "src").select("src", "dst", (F.col("g2") / F.col("all")).alias("share")))
-    start = seeds.select(F.col("entity")).join(step.select(F.col("src").alias("entity")).distinct(), "entity", "left_semi").distinct()
-    rest = checkpointed(start.join(F.broadcast(start.agg(F.count(F.lit(1)).alias("m"))), F.lit(True)).select("entity", (1 / F.col("m")).alias("rest")))
-    score = rest.select("entity", F.col("rest").alias("score"))
+    step = checkpointed(walk.join(out, "src").select(F.col("src").alias("entity"), "dst", (DAMPING * F.col("g2") / F.col("all")).alias("share")))
+    start = seeds.select("walk", "entity").distinct().join(step.select("entity").distinct(), "entity", "left_semi")
+    m = start.groupBy("walk").agg(F.count(F.lit(1)).alias("m"))
+    score = rest = checkpointed(start.join(m, "walk").select("walk", "entity", (1 / F.col("m")).alias("score")))
+    back = rest.select("walk", "entity", ((1 - DAMPING) * F.col("score")).alias("score"))
     for i in range(rounds):
-        moved = score.join(step, score["entity"] == step["src"]).groupBy(F.col("dst").alias("entity")).agg(F.sum(F.col("score") * F.col("share")).alias("moved"))
-        score = rest.join(moved, "entity", "full_outer").select("entity", ((1 - DAMPING) * F.coalesce("rest", F.lit(0.0)) + DAMPING * F.coalesce("moved", F.lit(0.0))).alias("score"))
+        moved = score.join(step, "entity").select("walk", F.col("dst").alias("entity"), (F.col("score") * F.col("share")).alias("score"))
+        score = moved.unionByName(back).groupBy("walk", "entity").agg(F.sum("score").alias("score"))
         if i % 5 == 4:
             score = checkpointed(score)
-    return score.select("entity", F.round("score", 6).alias("score"))
+    return score.select("walk", "entity", F.round("score", 6).alias("score"))
 
 
 def bridges(links: DataFrame, first: str, second: str, most: int = 4) -> DataFrame:
     """GR-21: entities linked to both ends, by the product of two walks."""
-    spark = links.sparkSession
-    seed = lambda name: spark.createDataFrame([(name,)], "entity string")
-    a = pagerank(links, seed(first)).withColumnRenamed("score", "sa")
-    b = pagerank(links, seed(second)).withColumnRenamed("score", "sb")
+    seeds = links.sparkSession.createDataFrame([("a", first), ("b", second)], "walk string, entity string")
+    scores = pagerank(links, seeds).groupBy("entity").agg(
+        F.max(F.when(F.col("walk") == "a", F.col("score"))).alias("sa"), F.max(F.when(F.col("walk") == "b", F.col("score"))).alias("sb")
+    )
     walk = both_ways(links)
     linked = lambda name: walk.filter(F.col("src") == name).select(F.col("dst").alias("entity"))
-    both = a.join(b, "entity").join(linked(first), "entity", "left_semi").join(linked(second), "entity", "left_semi")
-    return both.select("entity", F.round(F.col("sa") * F.col("sb"), 9).alias("score")).orderBy(F.col("score").desc(), "entity").limit(most)
+    both = scores.join(linked(first), "entity", "left_semi").join(linked(second), "entity", "left_semi")
+    return both.select("entity", F.round(F.col("sa") * F.col("sb"), 9).alias("score")).filter("score is not null").orderBy(F.col("score").desc(), "entity").limit(most)
 
 
 def communities(links: DataFrame, rounds: int = ROUNDS, least: int = 3) -> DataFrame:

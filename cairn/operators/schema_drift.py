@@ -174,7 +174,8 @@ def unified_types(paths: DataFrame) -> DataFrame:
 def consistent_table(lines: DataFrame, most_columns: int = 2_000) -> DataFrame:
     """All lines in one table: the keys, one typed column for each path, and the failed casts.
 
-    Columns are named by the path joined by points.  ``failed`` maps a path to the
+    Columns are named by the path joined by points; of names that differ in case alone the later ones
+    end in ``~2``, ``~3``.  ``failed`` maps a path to the
     raw text that does not fit the column's type.  Objects have no column of their
     own where their fields have, lists and mixed values stay JSON text.  Repeated lines (same
     file, line and body) appear once; lines that are no valid JSON have ``valid`` false
@@ -199,11 +200,19 @@ def consistent_table(lines: DataFrame, most_columns: int = 2_000) -> DataFrame:
             }
         )
 
+    names: dict[str, str] = {}
+    taken = {"series", "file_path", "written_at", "line_no", "valid", "failed"}
+    for r in wanted:  # names that differ in case alone, or are a key's, get a number
+        name, n = r["path"].replace(SEP, "."), 1
+        while (unique := name if n == 1 else f"{name}~{n}").lower() in taken:
+            n += 1
+        taken.add(unique.lower())
+        names[r["path"]] = unique
     loaded = rows.withColumn("line", as_map("body"))
     raw = lambda p: F.col("line.path_value")[p]
     columns, failures = [], []
     for path, kind in ((r["path"], r["type"]) for r in wanted):
-        name = path.replace(SEP, ".")
+        name = names[path]
         typed = raw(path).try_cast(SQL_TYPES[kind])
         columns.append(typed.alias(name))
         if SQL_TYPES[kind] != "STRING":

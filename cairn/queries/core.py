@@ -570,7 +570,7 @@ def _ends(links: DataFrame) -> tuple[str, str]:
 @query("pagerank_entities")
 def pagerank_entities(s, d):
     links = checkpointed(entity_edges(s, d))
-    return entities.pagerank(links, s.createDataFrame([(e,) for e in _ends(links)], "entity string"))
+    return entities.pagerank(links, s.createDataFrame([("pair", e) for e in _ends(links)], "walk string, entity string"))
 
 
 @query("communities_themes")
