@@ -39,7 +39,8 @@ def fold_table() -> tuple[str, str]:
 def fold(c: Column | str) -> Column:
     """TXT-01: letter folding that keeps the length; null stays null."""
     a, b = fold_table()
-    return F.lower(F.translate(F.col(c) if isinstance(c, str) else c, a, b))
+    # lower() writes a capital sigma at a word's end as the final form
+    return F.translate(F.lower(F.translate(F.col(c) if isinstance(c, str) else c, a, b)), "ς", "σ")
 
 
 def composed(df: DataFrame, column: str) -> DataFrame:
@@ -56,7 +57,8 @@ def bare(c: Column) -> Column:
 
 def boundaries(c: Column) -> Column:
     """TXT-03: a space at each lower-to-upper seam after a whole word, and between digits and letters."""
-    seam = F.regexp_replace(c, r"(?<=[\p{L}\p{N}]{2}\p{Ll})(?=\p{Lu})", " ")
+    # a match takes the letters since the last cut, so the next one starts to count after it
+    seam = F.regexp_replace(c, r"(\p{L}{2}\p{L}*?\p{Ll})(?=\p{Lu})", "$1 ")
     split = F.regexp_replace(seam, rf"(?<=[{DIGIT}])(?=\p{{L}})", " ")
     return F.regexp_replace(split, rf"(?<=\p{{L}})(?=[{DIGIT}])", " ")
 

@@ -123,7 +123,7 @@ def delimited_rows(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """TXT-22: (key, run, pos, cells): rows of two marks or more, in runs of at least two lines of one width."""
     bars = F.length("line") - F.length(F.translate("line", "|", ""))
     by = Window.partitionBy(key).orderBy("pos")
-    table = lines.filter(bars >= 2).withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim))
+    table = lines.filter(bars >= 2).withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c)))
     table = table.withColumn("run", F.col("pos") - F.row_number().over(by))
     sized = table.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(key, "run", F.size("cells"))))
     return sized.filter("rows >= 2").select(key, "run", "pos", "cells")

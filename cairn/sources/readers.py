@@ -127,11 +127,12 @@ def header_row(grid: list[list[str]]) -> int:
             if all_lengths[i] != x:
                 at[x] = i * (n - i) * (run / i - (total - run) / (n - i)) ** 2
         bound = max(at, key=at.get)
-    score = -1
+    score = (-1, -1)
     for i, r in enumerate(grid[: max(1, numeric)]):
-        short = sum(bool(c) and len(c) <= bound and not _is_number(c) for c in r)
-        if short > score:
-            best, score = i, short
+        texts = [c for c in r if c and not _is_number(c)]
+        this = (sum(len(c) <= bound for c in texts), len(texts))
+        if this > score:
+            best, score = i, this
     return best
 
 
