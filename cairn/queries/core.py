@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
-from cairn.operators import check, entities, nested, records, retrieve, schema_drift, store
+from cairn.operators import answers, check, entities, nested, records, retrieve, schema_drift, store
 from cairn.operators.nested import label_trees, run_tables
 from cairn.plans import algebra
 from cairn.queries import sql
@@ -293,6 +293,21 @@ def dense_near(s, d):
     return retrieve.near(v, q).select("query_id", "vec_id", "cosine")
 
 
+@query("unseen_demands", "WITH" + sql.STORE + f""", {ASKED}, qt AS (SELECT query_id, {sql.tokens('query')} AS t FROM q), qw AS (SELECT query_id, unnest(list_distinct({sql.content('t')})) AS word FROM qt),
+voc AS (SELECT DISTINCT word AS term FROM post), kn AS (SELECT DISTINCT word FROM (SELECT DISTINCT word FROM qw) x JOIN voc ON left(word, 5) = left(term, 5) AND {sql.stem('word', 'term')})
+SELECT query_id, word FROM qw WHERE word NOT IN (SELECT word FROM kn)""")
+def unseen_demands(s, d):
+    return answers.unseen_demands(asked(s, d), store.postings(lines(s, d)))
+
+
+@query("source_profiles", "WITH" + sql.sentences() + r""", p AS (SELECT source, sentence, row_number() OVER (PARTITION BY source ORDER BY length(sentence) DESC, doc_id || ':' || pos) AS r FROM s),
+g AS (SELECT source, string_agg(sentence, ' ' ORDER BY r) AS p FROM p WHERE r <= 12 GROUP BY source),
+n AS (SELECT source, p, CASE WHEN source LIKE '%:%' THEN regexp_replace(source, '^[^:]*:', '') ELSE regexp_replace(source, '^#+', '') END AS nm FROM g)
+SELECT source, left(concat_ws(' ', regexp_replace(nm, '([^.])\.[^.]*$', '\1'), p), 1200) AS profile FROM n""")
+def source_profiles(s, d):
+    return answers.profiles(lines(s, d))
+
+
 @query("seats_topk")
 def seats_topk(s, d):
     rows = checkpointed(lines(s, d))
