@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.stopwords import SCRIPTS, STOPWORDS
+from cairn.session import checkpointed
 
 STAMP = re.compile(r"\s*\(~\s[^()]*\(\w{2,4}\.?\)\s\d{1,2}:\d\d\)\s*$|\s*\(~\s[^()]*\)\s*$")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -396,7 +397,7 @@ def defects(pairs: DataFrame, share: float = 0.5) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"pair_id": "Int64"})
 
     source = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "question", "gold", "said")
-    seen = source.mapInPandas(judge, PAIR)
+    seen = checkpointed(source.mapInPandas(judge, PAIR))  # defective and open pairs only; read twice below
     sure = seen.filter("whole is null").select("pair_id", "defect")
     open_ = seen.filter("whole is not null")
     counts = endings(pairs)
