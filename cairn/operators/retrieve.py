@@ -65,16 +65,23 @@ def name_boost(ranked: DataFrame, queries: DataFrame, sources: DataFrame) -> Dat
 
 
 def where(rows: DataFrame, term: str) -> DataFrame:
-    """JN-04: (source, lines): lines that hold every word of a term, up to inflection."""
-    wanted = [r[0] for r in rows.sparkSession.range(1).select(F.explode(F.array_distinct(tx.words(F.lit(term))))).collect()]
-    held = rows.select("source", "sid", F.explode(F.array_distinct(tx.words(F.col("sentence")))).alias("word"))
-    stems = None
-    for w in wanted:
-        one = held.filter(tx.same_stem(F.col("word"), F.lit(w))).select("source", "sid").distinct()
-        stems = one if stems is None else stems.join(one, ["source", "sid"])
-    if stems is None:
+    """JN-04: (source, lines): lines that hold every word of a term, up to inflection; a term without words has none.
+
+    One scan decides each line by itself; only the counts of the sources are shuffled.
+    """
+    wanted = rows.sparkSession.range(1).select(F.array_distinct(tx.words(F.lit(term)))).first()[0]  # the words of one term
+    if not wanted:
         return rows.select("source", F.lit(0).cast("long").alias("lines")).limit(0)
-    return stems.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
+    # a word of the stem begins with the same letters, which must stand in the folded line: a plain test before the exact one
+    letters = tx.fold(F.regexp_replace("sentence", r"\p{M}+", ""))
+    near = rows
+    for w in wanted:
+        near = near.filter(F.contains(letters, F.lit(w[: tx.ROOT])))
+    # the generator keeps the words from being made again for each wanted word
+    held = near.select("source", F.explode(F.array(tx.words(F.col("sentence")))).alias("words"))
+    for w in wanted:
+        held = held.filter(tx.stem_held(F.lit(w), F.col("words")))
+    return held.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def census_pair(post: DataFrame, words: list[str]) -> DataFrame:
