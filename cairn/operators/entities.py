@@ -29,8 +29,8 @@ def ngram_counts(lines: DataFrame, longest: int = LONGEST, least: int = MIN_PAIR
     return each.groupBy("gram", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def collocations(lines: DataFrame, longest: int = 3, least: int = MIN_PAIR, pmi: float = MIN_PMI) -> DataFrame:
-    """AG-13: (gram, size, n, cohesion) of the phrases of a corpus, all from one table of counts.
+def collocations(lines: DataFrame, longest: int = LONGEST, least: int = MIN_PAIR, pmi: float = MIN_PMI) -> DataFrame:
+    """AG-13: (gram, size, n, cohesion) of the phrases of 2 to ``longest`` words of a corpus, all from one table of counts.
 
     A phrase is cohesive (over every split ln(p(run) / (p(left) p(right))) is at least ``pmi``), sticky (every split
     makes up more than half of one of its sides), free (no word stands beside it in more than half of its places) and

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import math
+import random
 import struct
 import zipfile
 import zlib
@@ -132,6 +133,44 @@ def test_collocations_find_the_phrase(spark):
     assert set(got) == {"old mill"} and got["old mill"].cohesion == pytest.approx(math.log(6 * 42 / 36), abs=1e-6)
 
 
+def brute_phrases(lines, longest=5, least=3, pmi=1.0):
+    """Phrases of token lists by the definition: cohesive, sticky, free and maximal."""
+    n, beside, total = {}, {}, sum(map(len, lines))
+    for toks in lines:
+        for size in range(1, longest + 1):
+            for i in range(len(toks) - size + 1):
+                gram = tuple(toks[i : i + size])
+                n[gram] = n.get(gram, 0) + 1
+                for side, at in ((0, i - 1), (1, i + size)):
+                    if 0 <= at < len(toks):
+                        near = beside.setdefault((gram, side), {})
+                        near[toks[at]] = near.get(toks[at], 0) + 1
+    keep = {}
+    for gram, count in n.items():
+        if len(gram) < 2 or count < least:
+            continue
+        parts = [(n[gram[:cut]], n[gram[cut:]]) for cut in range(1, len(gram))]
+        cohesion = min(math.log(count * total / (a * b)) for a, b in parts)
+        sticky = all(max(count / a, count / b) > 0.5 for a, b in parts)
+        free = all(2 * max(beside.get((gram, side), {"": 0}).values()) <= count for side in (0, 1))
+        if cohesion >= pmi and sticky and free:
+            keep[gram] = (count, round(cohesion, 6))
+    inside = {h[i : i + k] for h in keep for k in range(2, len(h)) for i in range(len(h) - k + 1)}
+    return {" ".join(g): v for g, v in keep.items() if g not in inside}
+
+
+def test_phrases_of_four_and_five_words_equal_brute_force(spark):
+    rng, names = random.Random(3), ["red salt mill road", "great bay of tall ships", "old harbour master", "iron gate", "one two three four five six"]
+    lines = [[f"w{rng.randint(0, 999)}", *rng.choice(names).split(), f"v{rng.randint(0, 999)}"] for _ in range(150)]
+    df = spark.createDataFrame([(str(i), f"s{i % 7}", t) for i, t in enumerate(lines)], "sid string, source string, toks array<string>")
+    found = entities.collocations(df)
+    got = {r.gram: (r.n, r.cohesion) for r in found.collect()}
+    assert got == {g: (n, pytest.approx(c, abs=1e-6)) for g, (n, c) in brute_phrases(lines).items()}
+    assert {"red salt mill road", "great bay of tall ships"} <= set(got)
+    held = entities.mentions(df, found.select(F.col("gram").alias("entity"))).groupBy("entity").count().collect()
+    assert {r.entity: r["count"] for r in held} == {g: sum(g in " ".join(t) for t in lines) for g in got}
+
+
 def test_plans(spark):
     d = dt.date
     lines = spark.createDataFrame([(1, d(2025, 1, 3), "bought a lamp", 5.0), (2, d(2025, 2, 1), "bought a kettle", 8.0), (3, d(2025, 2, 9), "sold a kettle", 4.0), (4, None, "kettle talk", None)], "sid long, day date, sentence string, amount double")
