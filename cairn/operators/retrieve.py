@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 
-RRF = 60
+RRF, CHANNEL = 60, 2
 
 
 def query_words(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -26,18 +26,29 @@ def query_words(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return asked.join(pairs, "word").select("query_id", "word", "term")
 
 
-def scored(queries: DataFrame, post: DataFrame, lengths: DataFrame, floor: float = 0.5) -> DataFrame:
+def stem_groups(queries: DataFrame) -> DataFrame:
+    """(query_id, word, root): the shortest word of the query that each of its words begins with."""
+    asked = queries.select("query_id", F.array_distinct(tx.words(F.col("query"))).alias("w"))
+    # all words a word begins with are prefixes of each other, so the least is the shortest
+    rooted = F.transform("w", lambda x: F.struct(x.alias("word"), F.array_min(F.filter("w", lambda m: F.startswith(x, m))).alias("root")))
+    return asked.select("query_id", F.explode(rooted).alias("g")).select("query_id", "g.word", "g.root")
+
+
+def scored(queries: DataFrame, post: DataFrame, keys: DataFrame, lengths: DataFrame, floor: float = 0.5) -> DataFrame:
     """AG-03: (query_id, sid, source, score): summed information of the query words a line holds, over its length.
 
-    ``post`` is (word, sid, source), ``lengths`` (sid, n_words).  Lines under ``floor`` of the query's best score fall
-    away (RK-03).  The postings are read once for frequencies and once for matches.
+    ``post`` is (word, sid, source), ``keys`` the part of it where the word is a field name (TXT-16; repeats are allowed),
+    ``lengths`` (sid, n_words).  Query words of which one begins another count once, over all lines of either, and
+    ``CHANNEL`` times where the line holds one of them as its field name.  Lines under ``floor`` of the query's best
+    score fall away (RK-03).  The postings are read once for frequencies and once for matches.
     """
-    terms = query_words(queries, post)
-    hits = terms.join(post, terms["term"] == post["word"]).select("query_id", terms["word"], "sid", "source").distinct()
-    held = hits.groupBy("query_id", "word").agg(F.count_distinct("sid").alias("held"))
+    terms = query_words(queries, post).join(stem_groups(queries), ["query_id", "word"]).select("query_id", "root", "term").distinct()
+    places = post.select("word", "sid", "source", F.lit(1).alias("times")).unionByName(keys.select("word", "sid", "source", F.lit(CHANNEL).alias("times")))
+    hits = terms.join(places, terms["term"] == places["word"]).groupBy("query_id", "root", "sid", "source").agg(F.max("times").alias("times"))
+    held = hits.groupBy("query_id", "root").agg(F.count_distinct("sid").alias("held"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean"))
-    weight = held.join(F.broadcast(totals), F.lit(True)).select("query_id", "word", F.log(1 + F.col("n") / F.col("held")).alias("weight"), "mean")
-    summed = hits.join(weight, ["query_id", "word"]).groupBy("query_id", "sid", "source").agg(F.sum("weight").alias("weight"), F.first("mean").alias("mean"))
+    weight = held.join(F.broadcast(totals), F.lit(True)).select("query_id", "root", F.log(1 + F.col("n") / F.col("held")).alias("weight"), "mean")
+    summed = hits.join(weight, ["query_id", "root"]).groupBy("query_id", "sid", "source").agg(F.sum(F.col("weight") * F.col("times")).alias("weight"), F.first("mean").alias("mean"))
     sized = summed.join(lengths, "sid")
     norm = 0.8 + 0.2 * F.greatest(F.col("n_words"), F.lit(1)) / F.col("mean")
     ranked = sized.select("query_id", "sid", "source", F.round(F.col("weight") / norm, 6).alias("score"))
@@ -161,11 +172,11 @@ def find(rows: DataFrame, queries: DataFrame, most: int = 6, floor: float = 0.5,
     ``rows``: (sid, source, sentence).  ``rerank`` (UD-02) takes a query's texts and returns their order; one that is no
     permutation is ignored.
     """
-    from cairn.operators.store import postings
+    from cairn.operators.store import key_words, postings
 
     post = postings(rows)
     lengths = rows.select("sid", F.size(tx.words(F.col("sentence"))).alias("n_words"))
-    ranked = top(name_boost(scored(queries, post, lengths, floor), queries, rows.select("source")), most)
+    ranked = top(name_boost(scored(queries, post, key_words(rows), lengths, floor), queries, rows.select("source")), most)
     out = ranked.join(rows.select("sid", "sentence"), "sid").select("query_id", "rank", "sid", "source", "sentence", "score")
     if rerank is None:
         return out

@@ -85,6 +85,37 @@ def upper_median(df: DataFrame, value: Column) -> DataFrame:
     return running.join(F.broadcast(total), F.lit(True)).filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
 
 
+WORD, BLANK = r"\p{L}\p{N}_\"'.", r"[\s\p{Z}]"  # letters of a field name's words, white space
+
+
+def _last_three() -> Column:
+    w = F.col("w")
+    return F.filter(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)), lambda x: ~tx.is_number(x))
+
+
+def key_words(rows: DataFrame, sid: str = "sid") -> DataFrame:
+    """TXT-16: (word, sid, source) of the words that a line holds as a FIELD NAME, by its form alone; not always once.
+
+    They are the last three words before a colon, or before the first digit of a short segment whose first number
+    stands in the leading half of its tokens.  Short is at most the upper median of all lines' characters and tokens.
+    """
+    bounds = upper_median(rows, F.length("sentence")).select(F.col("median").alias("chars")).crossJoin(
+        upper_median(rows, F.size(tx.tokens(F.col("sentence")))).select(F.col("median").alias("toks")))
+    near = rows.filter(F.col("sentence").rlike(r"[:\p{Nd}]")).select(sid, "source", "sentence", tx.tokens(F.col("sentence")).alias("t"))
+    near = near.select(sid, "source", "sentence", tx.content(F.col("t")).alias("held"))
+    heads = F.regexp_extract_all("sentence", F.lit(rf"(?<![{WORD}])((?:[{WORD}]++[ \t]++){{0,2}}[{WORD}]++){BLANK}*+:"), 1)
+    segments = F.filter(F.transform(F.split("sentence", "[·—;|]"), lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")), lambda x: x.rlike(r"\p{Nd}"))
+    parts = near.select(sid, "source", "held", F.explode(F.concat(
+        F.transform(heads, lambda x: F.struct(x.alias("name"), F.lit(None).cast("string").alias("segment"))),
+        F.transform(segments, lambda x: F.struct(F.regexp_extract(x, rf"^([^\p{{Nd}}:]+?){BLANK}*\p{{Nd}}", 1).alias("name"), x.alias("segment"))),
+    )).alias("p")).filter("p.name <> ''")
+    sized = parts.select(sid, "source", "held", "p.*", tx.tokens(F.col("p.segment")).alias("st"), tx.tokens(F.col("p.name")).alias("nt")).join(F.broadcast(bounds), F.lit(True))
+    first = F.array_position(F.transform("st", tx.is_number), F.lit(True)) - 1  # -1: no number
+    shaped = (F.length("segment") <= F.col("chars")) & (F.size("st") <= F.col("toks")) & (first > 0) & (2 * first <= F.size("st"))
+    named = sized.filter(F.col("segment").isNull() | shaped).select(sid, "source", "held", tx.content(F.col("nt")).alias("w"))
+    return named.select(sid, "source", F.explode(F.array_intersect(_last_three(), "held")).alias("word"))
+
+
 def otsu_bound(lengths: DataFrame, group: str, length: str) -> DataFrame:
     """TXT-17: (group, bound): the length that best parts short from long lines of a group; needs two lengths.
 

@@ -220,10 +220,12 @@ fl AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best
 
 @query("find_topk", _FIND + "SELECT query_id, sid, source, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sid) AS n FROM fl) WHERE n <= 6")
 def find_topk(s, d):
-    rows = checkpointed(lines(s, d).select("sid", "source", tx.words(F.col("sentence")).alias("words")))
+    rows = checkpointed(lines(s, d).select("sid", "source", "sentence", tx.words(F.col("sentence")).alias("words")))
     post = checkpointed(rows.select("sid", "source", F.explode(F.array_distinct("words")).alias("word")))
     lengths = rows.select("sid", F.size("words").alias("n_words"))
-    return retrieve.top(retrieve.scored(asked(s, d), post, lengths)).select("query_id", "sid", "source", "score", F.col("rank").cast("long").alias("rank"))
+    q = asked(s, d)
+    named = retrieve.name_boost(retrieve.scored(q, post, store.key_words(rows), lengths), q, rows)
+    return retrieve.top(named).select("query_id", "sid", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("named_source_boost", f"""WITH {ASKED},
@@ -312,7 +314,9 @@ def source_profiles(s, d):
 def seats_topk(s, d):
     rows = checkpointed(lines(s, d))
     lengths = rows.select("sid", F.size(tx.words(F.col("sentence"))).alias("n_words"))
-    ranked = retrieve.top(retrieve.scored(asked(s, d), store.postings(rows), lengths), 24).join(rows.select("sid", "sentence"), "sid")
+    q = asked(s, d)
+    named = retrieve.name_boost(retrieve.scored(q, store.postings(rows), store.key_words(rows), lengths), q, rows)
+    ranked = retrieve.top(named, 24).join(rows.select("sid", "sentence"), "sid")
     return retrieve.seats(ranked)
 
 

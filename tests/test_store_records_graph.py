@@ -12,6 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import text as tx
 from cairn.operators import entities, nested, records, retrieve, schema_drift, store
 from cairn.plans import algebra
 from cairn.sources import readers
@@ -54,6 +55,29 @@ def test_known_item_retrieval(spark):
     assert {r.source: r.lines for r in retrieve.where(rows, "valves").collect()} == {"#doc:y": 2, "#doc:x": 2}
 
 
+def lines_of(spark, texts):
+    return spark.createDataFrame([(f"1:{i}", s, t) for i, (s, t) in enumerate(texts)], "sid string, source string, sentence string")
+
+
+def test_field_names_are_keyed(spark):
+    long = "many words stand in this line of plain prose without any figure at all"
+    texts = [("a", t) for t in ("Bellek: 8 g", "The big Working Pressure Limit : 9", "Screen 15 inch wide", "15 inch screen", "see the section 11", f"{long} 7 of it: none 3", "Kasa gri | Pil 4 saat sürer", *[long] * 7)]
+    got = {(int(r.sid[2:]), r.word) for r in store.key_words(lines_of(spark, texts)).collect()}
+    assert got == {(0, "bellek"), (1, "working"), (1, "pressure"), (1, "limit"), (2, "screen"), (5, "of"), (6, "pil")}
+
+
+def test_scores_group_words_and_double_field_names(spark):
+    texts = [("a", "Pressure: 8 bar"), ("a", "some pressure arose there"), ("b", "pressures fell there again"), ("b", "valve stood open"), ("c", "nothing else happened")]
+    rows = lines_of(spark, texts)
+    q = spark.createDataFrame([(1, "pressure pressures"), (2, "valve")], "query_id int, query string")
+    lengths = rows.select("sid", F.size(tx.words(F.col("sentence"))).alias("n_words"))
+    got = {(r.query_id, r.sid): r.score for r in retrieve.scored(q, store.postings(rows), store.key_words(rows), lengths, 0.0).collect()}
+    mean = (3 + 4 + 4 + 3 + 3) / 5
+    part = lambda held, n: math.log(1 + 5 / held) / (0.8 + 0.2 * n / mean)
+    want = {(1, "1:0"): 2 * part(3, 3), (1, "1:1"): part(3, 4), (1, "1:2"): part(3, 4), (2, "1:3"): part(1, 3)}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
 def test_fusion_and_interleaving(spark):
     r = spark.createDataFrame([("a", 1), ("b", 2), ("b", 1), ("c", 1)], "key string, rank int")
     assert [x.key for x in retrieve.rrf(r).orderBy("place").collect()] == ["b", "a", "c"]
