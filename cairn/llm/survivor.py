@@ -14,6 +14,7 @@ the aggregation's result is the answer.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 from dataclasses import dataclass
 
@@ -100,6 +101,19 @@ def branch_and_bound(options: dict[str, list[tuple[float, dict, object]]], fits)
     return None
 
 
+def best_part(options: dict[str, list[tuple[float, dict, object]]], fits) -> dict[str, object]:
+    """{bundle: record} of as many bundles as fit together, and of these the greatest total gain; ties go to the first names.
+
+    A bundle is left empty only where no choice of more bundles fits.  The subsets are those of the declared bundles, a small
+    fixed number, and only groups without a full choice see more than the first.
+    """
+    for size in range(len(options), 0, -1):
+        found = [c for names in itertools.combinations(sorted(options), size) if (c := branch_and_bound({n: options[n] for n in names}, fits))]
+        if found:
+            return max(found, key=lambda c: sum(next(o[0] for o in options[n] if o[2] == record) for n, record in c.items()))
+    return {}
+
+
 def best_representative(
     rows: DataFrame, group: list[str], row_id: str, order: list[Column], bundles: list[Bundle],
     gain: Column | None = None, dependencies: list[tuple[str, str, set[tuple]]] | None = None,
@@ -109,8 +123,9 @@ def best_representative(
     ``order`` ranks records, the greatest first, null behind all else; ties go to the greater ``row_id``
     unless the order says more.  ``dependencies`` are (field, field, allowed value pairs) that must
     hold across the chosen bundles; the pairs are a small fixed table, and the choice is the one of the greatest
-    total ``gain``.  A bundle without a usable record, or a group in which no choice fits, gives
-    no row, groups with a null key do not exist, repeated rows count once, an empty table gives none.
+    total ``gain``.  Where no choice of all bundles fits, the fewest are left empty.  A bundle that is left empty
+    or has no usable record gives no row, groups with a null key do not exist, repeated rows count once, an
+    empty table gives none.
     """
     known = rows.filter(" and ".join(f"`{g}` is not null" for g in [*group, row_id]))
     rank = _ranked(order, row_id, F.lit(0.0) if gain is None else F.coalesce(gain, F.lit(0.0)).cast("double"))
@@ -138,7 +153,7 @@ def best_representative(
             by: dict[str, list] = {}
             for o in group_options:
                 by.setdefault(o["bundle"], []).append((-o["loss"], json.loads(o["seen"]), o["id"]))
-            best = branch_and_bound(by, fits) or {}
+            best = best_part(by, fits)
             out.append([{"bundle": k, "id": v} for k, v in sorted(best.items())])
         return pd.Series(out)
 

@@ -121,6 +121,26 @@ def test_bundles_keep_dependencies(spark):
     assert got == {"provenance": 1, "time": 1}
 
 
+def test_groups_without_a_full_choice_keep_their_best_part(spark):
+    # only guests' records with settled times: provenance and time exclude each other, the unit is free
+    rows = [record(1, level=1, trust=0.2, unit="bar"), record(2, level=2, trust=0.9, at="2024-01-01"), record(3, level=2, trust=0.4, subject=2), record(4, level=1, trust=0.3, subject=2)]
+    rows = [(*r[:12], False, *r[13:]) for r in rows]
+    got = {(r.group_key, r.bundle): r.record_key for r in survivor.surviving_bundles(spark.createDataFrame(rows, DYN)).collect()}
+    assert got == {(1, "provenance"): 2, (1, "unit"): 1, (3, "provenance"): 3}
+
+
+def test_best_part_equals_all_choices():
+    rng = random.Random(4)
+    for _ in range(200):
+        options = {b: sorted(((rng.random(), {b: rng.randint(0, 2)}, (b, i)) for i in range(rng.randint(1, 3))), key=lambda o: -o[0]) for b in "xyz"}
+        pairs = {(a, b) for a in range(3) for b in range(3) if rng.random() < 0.15}
+        fits = lambda v: "x" not in v or "z" not in v or (v["x"], v["z"]) in pairs
+        choices = itertools.product(*([None, *options[b]] for b in "xyz"))
+        best = max((sum(o is not None for o in c), sum(o[0] for o in c if o)) for c in choices if fits({k: v for o in c if o for k, v in o[1].items()}))
+        got = survivor.best_part(options, fits)
+        assert (len(got), sum(o[0] for os in options.values() for o in os if o[2] in got.values())) == (best[0], pytest.approx(best[1]))
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 PAIRS = "pair_id long, question string, gold string, said string, abstained boolean, three string, word string"
