@@ -133,12 +133,23 @@ def bridges(links: DataFrame, first: str, second: str, most: int = 4) -> DataFra
     return both.select("entity", F.round(F.col("sa") * F.col("sb"), 9).alias("score")).filter("score is not null").orderBy(F.col("score").desc(), "entity").limit(most)
 
 
-def communities(links: DataFrame, rounds: int = ROUNDS, least: int = 3) -> DataFrame:
+def everywhere(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """GR-22: (entity) held by more than half of the sources, where there are more than two; lines without a source do not count."""
+    named = (F.col("source").isNotNull()) & (F.col("source") != "")
+    total = lines.filter(named).agg(F.count_distinct("source").alias("total"))
+    held = found.filter(named).select("entity", "source").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("held"))
+    return held.join(F.broadcast(total), F.lit(True)).filter((F.col("total") > 2) & (2 * F.col("held") > F.col("total"))).select("entity")
+
+
+def communities(links: DataFrame, rounds: int = ROUNDS, least: int = 3, common: DataFrame | None = None) -> DataFrame:
     """GR-22: (entity, label) by synchronous label propagation; groups of at least three.
 
+    ``common`` are the entities that ``everywhere`` finds in most sources: they separate nothing and take no part.
     The reference walk is asynchronous and order dependent; this distributed variant updates all labels at once and keeps
     an entity's own label on a tie, so it ends or is stopped after ``rounds``.
     """
+    if common is not None:
+        links = links.join(common.select(F.col("entity").alias("a")), "a", "left_anti").join(common.select(F.col("entity").alias("b")), "b", "left_anti")
     walk = checkpointed(both_ways(links))
     labels = checkpointed(walk.select(F.col("src").alias("entity")).distinct().withColumn("label", F.col("entity")))
     for _ in range(rounds):

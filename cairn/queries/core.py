@@ -594,7 +594,10 @@ def pagerank_entities(s, d):
 
 @query("communities_themes")
 def communities_themes(s, d):
-    return entities.communities(checkpointed(entity_edges(s, d)))
+    rows = checkpointed(unique_lines(s, d))
+    found = checkpointed(entities.mentions(rows, entities.collocations(rows).select(F.col("gram").alias("entity"))))
+    links = checkpointed(entities.edges(found, rows.agg(F.count(F.lit(1)).alias("total"))))
+    return entities.communities(links, common=entities.everywhere(found, rows))
 
 
 @query("bridge_entities")

@@ -157,6 +157,22 @@ def test_collocations_find_the_phrase(spark):
     assert set(got) == {"old mill"} and got["old mill"].cohesion == pytest.approx(math.log(6 * 42 / 36), abs=1e-6)
 
 
+def test_communities_leave_out_what_most_sources_hold(spark):
+    held = {"head": "stuv", "a": "s", "b": "s", "c": "st", "x": "u", "y": "u", "z": "uv"}
+    sources = [*"stuv", ""]
+    found = spark.createDataFrame([(f"{src}{e}", src, e) for e, all_ in held.items() for src in [*all_, ""]], "sid string, source string, entity string")
+    lines = spark.createDataFrame([(src, src) for src in sources], "sid string, source string")
+    assert {r.entity for r in entities.everywhere(found, lines).collect()} == {"head"}
+    few = lines.filter("source in ('s', 't')")
+    assert entities.everywhere(found.filter("source in ('s', 't')"), few).count() == 0
+    links = [("a", "b", 2.0), ("a", "c", 2.0), ("b", "c", 2.0), ("x", "y", 2.0), ("x", "z", 2.0), ("y", "z", 2.0)] + [(min(e, "head"), max(e, "head"), 9.0) for e in "abcxyz"]
+    df = spark.createDataFrame([(a, b, 1, g) for a, b, g in links], "a string, b string, k11 long, g2 double")
+    groups: dict = {}
+    for r in entities.communities(df, common=entities.everywhere(found, lines)).collect():
+        groups.setdefault(r.label, set()).add(r.entity)
+    assert sorted(map(sorted, groups.values())) == [["a", "b", "c"], ["x", "y", "z"]]
+
+
 def brute_phrases(lines, longest=5, least=3, pmi=1.0):
     """Phrases of token lists by the definition: cohesive, sticky, free and maximal."""
     n, beside, total = {}, {}, sum(map(len, lines))
