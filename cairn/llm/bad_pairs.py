@@ -332,20 +332,22 @@ def endings(pairs: DataFrame) -> DataFrame:
 
     Keys are those of ``grams``, 'w:' for words as they stand and 'g:' for whole golds with digits alike.
     The unfinished last sentence of a text says nothing about endings and is left out.
-    Counted within each batch first, then combined before and after one shuffle.
+    Each different question, gold and said text counts once, whatever rows, batches and files hold it; counted within
+    each batch first, then combined before and after one shuffle.
     """
-    columns = pairs.select("question", "gold", F.col("said"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("text")) for c in ("question", "gold", "said")))).alias("t")
+    texts = pairs.select(kinds).select("t.kind", "t.text").filter("text is not null").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n: Counter = Counter()
             final: Counter = Counter()
-            for text in batch["question"].dropna().unique():
-                n.update(f"w:{w}" for w in words_of(text))
-            for text in batch["gold"].dropna().unique():
-                n.update(f"w:{w}" for w in words_of(text))
-                n[f"g:{masked(text)}"] += 1
-            for text in batch["said"].dropna().unique():
+            for kind, text in batch.itertuples(index=False):
+                if kind != "said":
+                    n.update(f"w:{w}" for w in words_of(text))
+                    if kind == "gold":
+                        n[f"g:{masked(text)}"] += 1
+                    continue
                 for part in sentences(body_of(text)):
                     if not finished(part):
                         part = part[: m.start()] if (m := re.search(r"\S+\s*$", part)) else ""
@@ -360,7 +362,7 @@ def endings(pairs: DataFrame) -> DataFrame:
                     final.update(listed[-1] if listed else ())
             yield pd.DataFrame({"gram": list(n), "n": list(n.values()), "final": [final[k] for k in n]})
 
-    return columns.mapInPandas(count, "gram string, n long, final long").groupBy("gram").agg(
+    return texts.mapInPandas(count, "gram string, n long, final long").groupBy("gram").agg(
         F.sum("n").alias("n"), F.sum("final").alias("final")
     )
 

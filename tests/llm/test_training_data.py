@@ -164,6 +164,13 @@ def test_defects(spark):
     assert bad_pairs.defects(spark.createDataFrame([], PAIRS)).count() == 0
 
 
+def test_endings_count_a_text_once_on_any_layout(spark):
+    rows = [(k, Q, "8 bar", "The valve holds 8 bar. It opens at", True, "t", "w") for k in range(12)] + [(99, "Who?", "Ada", "Ada wrote it.", True, "t", "w")]
+    once = {tuple(r) for r in bad_pairs.endings(spark.createDataFrame(rows[11:], PAIRS).coalesce(1)).collect()}
+    many = bad_pairs.endings(spark.createDataFrame(rows, PAIRS).repartition(6))
+    assert {tuple(r) for r in many.collect()} == once
+
+
 def test_suffix_automaton_equals_brute_force():
     rng = random.Random(2)
     for _ in range(300):
