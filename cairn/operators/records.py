@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,16 +134,17 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.groupBy("predicate").agg(F.count(F.lit(1)).alias("closed"))
 
 
-def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """GR-18: (predicate, subject, value, hops): all derived edges, by semi-naive rounds until nothing new comes.
 
-    Each round joins only the newest edges with the given ones; the lineage is cut in the checkpoint folder.
+    Each round joins only the newest edges with the given ones; the lineage is cut in the checkpoint folder.  A finite graph
+    ends, however long its chains are.
     """
     base = checkpointed(edges.select("predicate", "subject", "value").filter("subject <> value").distinct())
     known = base.withColumn("hops", F.lit(1))
     fresh = known
     step = base.select("predicate", F.col("subject").alias("mid"), F.col("value").alias("far"))
-    for hop in range(2, most_rounds + 1):
+    for hop in itertools.count(2):
         new = (
             fresh.select("predicate", "subject", F.col("value").alias("mid")).join(step, ["predicate", "mid"])
             .select("predicate", "subject", F.col("far").alias("value")).filter("subject <> value").distinct()
@@ -151,6 +154,8 @@ def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
+        if hop % 8 == 0:
+            known = checkpointed(known)
     return known
 
 

@@ -121,6 +121,11 @@ def test_closure_equals_brute_force(spark):
     assert [r.closed for r in records.triangles(spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "a", "c")], "predicate string, subject string, value string")).collect()] == [1]
 
 
+def test_closure_of_a_long_chain(spark):
+    df = spark.createDataFrame([("p", i, i + 1) for i in range(36)], "predicate string, subject int, value int").coalesce(1)
+    assert {(r.subject, r.value, r.hops) for r in records.closure(df).collect()} == {(i, j, j - i) for i in range(37) for j in range(i + 1, 37)}
+
+
 def test_labels_and_lookup(spark):
     labels = spark.createDataFrame([("Harbour", 1, 5), ("harbour", 2, 9), ("Kettle", 3, None)], "label string, key long, seen int")
     names = spark.createDataFrame([("HARBOUR",), ("harbours",), ("kettles!",), ("zzz",)], "name string")
