@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from cairn.functions import text as tx
 from cairn.session import checkpointed
 
-MIN_PAIR, MIN_PMI, MAX_TOKENS, LONGEST = 3, 1.0, 400, 5
+MIN_PAIR, MIN_PMI, LONGEST = 3, 1.0, 5
 DAMPING, ROUNDS = 0.85, 20
 
 
 def line_tokens(rows: DataFrame, sid: str = "sid") -> DataFrame:
-    """TXT-28: (sid, source, toks) with at most 400 content words a line."""
-    return rows.select(sid, "source", F.slice(tx.words(F.col("sentence")), 1, MAX_TOKENS).alias("toks"))
+    """TXT-28: (sid, source, toks) with all content words of a line; the reference stops at 400."""
+    # the tokens are a column of their own, so that they are made once a line and not once a word
+    return rows.select(sid, "source", tx.tokens(F.col("sentence")).alias("t")).select(sid, "source", tx.content(F.col("t")).alias("toks"))
 
 
 def ngram_counts(lines: DataFrame, longest: int = LONGEST, least: int = MIN_PAIR) -> DataFrame:
@@ -81,14 +82,16 @@ def g2(k11: Column, k12: Column, k21: Column, total: Column) -> Column:
 def edges(found: DataFrame, total_lines: DataFrame, widest: int = 64) -> DataFrame:
     """AG-14: (a, b, k11, g2) with a < b: entities that share lines.
 
-    A line holds at most ``MAX_TOKENS`` words, so the pairs of one line are bounded by the line; lines of more than ``widest``
-    entities go through the same exact pairs in blocks of words.
+    The pairs of a line of up to ``widest`` entities are made in its row, those of wider lines by a join, so that no row grows
+    with the square of a long line.
     """
     once = found.select("sid", "entity").distinct()
     per = once.groupBy("sid").agg(F.sort_array(F.collect_set("entity")).alias("e")).filter(F.size("e") > 1)
-    pairs = per.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("e") - 2), lambda i: F.transform(
-        F.slice("e", i + 2, F.size("e")), lambda b: F.struct(F.get("e", i).alias("a"), b.alias("b")))))).alias("p"))
-    shared = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("k11"))
+    close = per.filter(F.size("e") <= widest).select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("e") - 2), lambda i: F.transform(
+        F.slice("e", i + 2, F.size("e")), lambda b: F.struct(F.get("e", i).alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    wide = per.filter(F.size("e") > widest).select("sid", F.explode("e").alias("a"))
+    pairs = close.unionByName(wide.join(wide.withColumnRenamed("a", "b"), "sid").filter("a < b").select("a", "b"))
+    shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("k11"))
     counts = once.groupBy("entity").agg(F.count(F.lit(1)).cast("double").alias("n"))
     both = shared.join(counts.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b")
     sized = both.join(F.broadcast(total_lines.select(F.col("total").cast("double").alias("total"))), F.lit(True))

@@ -216,6 +216,14 @@ def test_phrases_of_four_and_five_words_equal_brute_force(spark):
     assert {r.entity: r["count"] for r in held} == {g: sum(g in " ".join(t) for t in lines) for g in got}
 
 
+def test_long_lines_are_whole(spark):
+    rows = spark.createDataFrame([("1", "s", " ".join(f"word{i}" for i in range(250)) + " far end")], "sid string, source string, sentence string")
+    assert entities.line_tokens(rows).first().toks[-3:] == ["249", "far", "end"] and entities.line_tokens(rows).select(F.size("toks")).first()[0] == 502
+    found = spark.createDataFrame([(sid, "s", f"e{i:03}") for sid, n in (("1", 90), ("2", 3)) for i in range(n)], "sid string, source string, entity string")
+    got = {(r.a, r.b): r.k11 for r in entities.edges(found, spark.createDataFrame([(9,)], "total long")).collect()}
+    assert got == {(f"e{i:03}", f"e{j:03}"): 1 + (j < 3) for j in range(90) for i in range(j)}
+
+
 def test_plans(spark):
     d = dt.date
     lines = spark.createDataFrame([(1, d(2025, 1, 3), "bought a lamp", 5.0), (2, d(2025, 2, 1), "bought a kettle", 8.0), (3, d(2025, 2, 9), "sold a kettle", 4.0), (4, None, "kettle talk", None)], "sid long, day date, sentence string, amount double")
