@@ -76,7 +76,7 @@ class Memory:
         self.records = records.arbitrated(rested).withColumn("trust", F.col("new_trust")).select(*self.records.columns)
 
     def run_mind(self, now: datetime, most: int = 200) -> list[str]:
-        """Steps until nothing is left: resolve tension, derive, sleep; a standing contradiction does not starve the rest."""
+        """One step of resolving where there is tension, then one sleep.  Of GR-25 the deriving and the loop to saturation are not built."""
         done = []
         if records.pressure(self.records).limit(1).count():
             self.records = records.arbitrated(self.records).withColumn("trust", F.col("new_trust")).select(*self.records.columns)
