@@ -1,13 +1,13 @@
 """Text kernel: folding, tokens, sentences, stems, stamps, measures, records (TXT-01 .. TXT-30).
 
-Column functions stay in the JVM.  The one exception is ``measure``, an inherently sequential
-reading, as an Arrow function; and canonical composition, which only texts with combining marks take.
+Column functions stay in the JVM.  The one exception is canonical composition, which only texts with combining
+marks take.  An array that an expression reads at each of its own elements is bound with ``let``, so that it is made once a row.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -19,6 +19,9 @@ CONTENT = 3  # shortest content word
 ROOT, TAIL = 5, 3  # stem: shortest common root, longest differing tail
 DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
 SPACE = " \t\n\f\r"
+SEAM = r"(\p{L}{2}\p{L}*?\p{Ll})(?=\p{Lu})"  # a match takes the letters since the last cut, so the next one starts to count after it
+BESIDE = rf"(?<=[{DIGIT}])(?=\p{{L}})|(?<=\p{{L}})(?=[{DIGIT}])"
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 @cache
@@ -36,11 +39,24 @@ def fold_table() -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.length(x)
+
+
+def _folded(x: Column) -> Column:
+    a, b = fold_table()
+    # lower() writes a capital sigma at a word's end as the final form; plain ASCII needs no table
+    return F.when(_ascii(x), F.lower(x)).otherwise(F.translate(F.lower(F.translate(x, a, b)), "ς", "σ"))
+
+
 def fold(c: Column | str) -> Column:
     """TXT-01: letter folding that keeps the length; null stays null."""
-    a, b = fold_table()
-    # lower() writes a capital sigma at a word's end as the final form
-    return F.translate(F.lower(F.translate(F.col(c) if isinstance(c, str) else c, a, b)), "ς", "σ")
+    return _folded(F.col(c)) if isinstance(c, str) else let(c, _folded)
 
 
 def composed(df: DataFrame, column: str) -> DataFrame:
@@ -57,16 +73,17 @@ def bare(c: Column) -> Column:
 
 def boundaries(c: Column) -> Column:
     """TXT-03: a space at each lower-to-upper seam after a whole word, and between digits and letters."""
-    # a match takes the letters since the last cut, so the next one starts to count after it
-    seam = F.regexp_replace(c, r"(\p{L}{2}\p{L}*?\p{Ll})(?=\p{Lu})", "$1 ")
-    split = F.regexp_replace(seam, rf"(?<=[{DIGIT}])(?=\p{{L}})", " ")
-    return F.regexp_replace(split, rf"(?<=\p{{L}})(?=[{DIGIT}])", " ")
+    def cut(x: Column) -> Column:
+        seam = F.when(x.rlike(r"\p{Ll}\p{Lu}"), F.regexp_replace(x, SEAM, "$1 ")).otherwise(x)
+        return F.regexp_replace(seam, BESIDE, " ")
+
+    return let(c, cut)
 
 
 def tokens(c: Column) -> Column:
-    """TXT-04: all tokens in order, folded."""
-    plain = F.regexp_replace(c, r"\p{M}+", "")
-    return F.transform(F.regexp_extract_all(boundaries(plain), F.lit(r"[\p{L}\p{N}]+"), 0), fold)
+    """TXT-04: all tokens in order, folded; the whole text is folded at once, letter by letter as its tokens would be."""
+    plain = let(c, lambda x: F.when(_ascii(x), x).otherwise(F.regexp_replace(x, r"\p{M}+", "")))
+    return F.regexp_extract_all(fold(boundaries(plain)), F.lit(TOKEN), 0)
 
 
 def is_number(t: Column) -> Column:
@@ -75,12 +92,15 @@ def is_number(t: Column) -> Column:
 
 def content(toks: Column, known: Column | None = None) -> Column:
     """TXT-05: content words of a token array: long enough, a number, beside a number, or a known unit."""
-    def keep(t: Column, i: Column) -> Column:
-        beside = is_number(F.coalesce(F.get(toks, i - 1), F.lit(""))) | is_number(F.coalesce(F.get(toks, i + 1), F.lit("")))
-        vouched = F.array_contains(known, t) if known is not None else F.lit(False)
-        return (F.length(t) >= CONTENT) | is_number(t) | beside | vouched
+    def kept(all_: Column) -> Column:
+        def keep(t: Column, i: Column) -> Column:
+            beside = is_number(F.coalesce(F.get(all_, i - 1), F.lit(""))) | is_number(F.coalesce(F.get(all_, i + 1), F.lit("")))
+            vouched = F.array_contains(known, t) if known is not None else F.lit(False)
+            return (F.length(t) >= CONTENT) | is_number(t) | beside | vouched
 
-    return F.filter(toks, keep)
+        return F.filter(all_, keep)
+
+    return let(toks, kept)
 
 
 def words(c: Column, known: Column | None = None) -> Column:
@@ -89,19 +109,27 @@ def words(c: Column, known: Column | None = None) -> Column:
 
 def anchors(toks: Column) -> Column:
     """TXT-07: (token, number) for each token beside a number."""
-    def near(t: Column, i: Column) -> Column:
-        at = [F.get(toks, i - 1), F.get(toks, i + 1)]
-        return F.transform(F.filter(F.array(*at), lambda x: x.isNotNull() & is_number(x)), lambda x: F.struct(t.alias("token"), x.alias("number")))
+    def paired(all_: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.size(all_)), lambda i: is_number(F.coalesce(F.get(all_, i), F.lit(""))))
+
+        def beside(i: Column) -> Column:
+            places = F.filter(F.array(i - 1, i + 1), lambda j: F.get(all_, j).isNotNull())
+            return F.transform(places, lambda j: F.struct(F.get(all_, j).alias("token"), F.get(all_, i).alias("number")))
+
+        return F.array_distinct(F.flatten(F.transform(numbers, beside)))
 
-    return F.array_distinct(F.flatten(F.transform(toks, near)))
+    return let(toks, paired)
 
 
 def quantity_tokens(c: Column) -> Column:
     """TXT-06: (token, beside) of letter and symbol runs; beside: a number stands next to it."""
-    runs = F.regexp_extract_all(c, F.lit(r"\d+(?:[.,]\d+)?|[\p{L}]+|[^\w\s]+"), 0)
     number = lambda x: F.coalesce(x, F.lit("")).rlike(r"^\d")
-    flagged = F.transform(runs, lambda t, i: F.struct(fold(t).alias("token"), (number(F.get(runs, i - 1)) | number(F.get(runs, i + 1))).alias("beside")))
-    return F.filter(flagged, lambda x: ~x["token"].rlike(r"^\d"))
+
+    def flagged(runs: Column) -> Column:
+        each = F.transform(runs, lambda t, i: F.struct(_folded(t).alias("token"), (number(F.get(runs, i - 1)) | number(F.get(runs, i + 1))).alias("beside")))
+        return F.filter(each, lambda x: ~x["token"].rlike(r"^\d"))
+
+    return let(F.regexp_extract_all(c, F.lit(r"\d+(?:[.,]\d+)?|[\p{L}]+|[^\w\s]+"), 0), flagged)
 
 
 def sentences(c: Column, marks: str = ".!?") -> Column:
@@ -150,42 +178,34 @@ def stem_held(word: Column, given: Column) -> Column:
     return F.exists(given, lambda g: same_stem(g, word))
 
 
-_NUMBER = re.compile(r"(?<![\w.,])(-?)(\d+(?:[.,]\d+)?)(?![\w.,]*[.,]\d)")
-_UNIT = re.compile(r"[ \t]?([^\s\d]{1,4})")
-MEASURE = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("unit", T.StringType())])
+# Fixed values, the written form of a measure: a number that no letter, digit, point or comma touches from before and
+# no further decimal part follows; and up to four signs behind it as its unit, unless they are mere marks before another number.
+_MARKS = r"(?:[^\p{L}\p{N}\s]{4}|[^\p{L}\p{N}\s]{1,3}(?=[\s\d]))[^\p{L}\p{N}]*\d"
+MEASURED = rf"(?<![\p{{L}}\p{{N}}_.,])(-?\d+(?:[.,]\d+)?)(?![\p{{L}}\p{{N}}_.,]*[.,]\d)(?:[ \t]?(?!{_MARKS})([^\s\d]{{1,4}}))?"
 
 
-def fold_text(text: str) -> str:
-    return "".join(ch.upper().casefold()[:1] or ch for ch in text)
+def measure(c: Column) -> Column:
+    """TXT-11: struct (low, high, unit): the first number with its unit, widened by later numbers of that unit; no number gives null.
 
+    A sign counts at the first number alone.  A unit loses the marks behind its last letter.
+    """
+    unit = lambda u: F.nullif(_folded(F.when(u.rlike(r"[\p{L}\p{N}]"), F.regexp_replace(u, r"[^\p{L}\p{N}]+$", "")).otherwise(u)), F.lit(""))
+    number = lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")
+    pieces = F.arrays_zip(
+        F.transform(F.regexp_extract_all(c, F.lit(MEASURED), 1), number).alias("x"), F.transform(F.regexp_extract_all(c, F.lit(MEASURED), 2), unit).alias("u"))
 
-def read_measure(text: str | None) -> tuple[float, float, str | None] | None:
-    """TXT-11: (low, high, unit) of the first number and later ones of its unit."""
-    low = high = unit = None
-    for m in _NUMBER.finditer(text or ""):
-        value = float(m[2].replace(",", "."))
-        after = _UNIT.match(text, m.end())
-        name = after[1] if after else None
-        if name and any(c.isalnum() for c in name):
-            while name and not name[-1].isalnum():
-                name = name[:-1]
-        elif name and re.match(r"[\W_]*\d", text[after.end() :]):
-            name = None  # a sign between two numbers parts them
-        name = fold_text(name) if name else None
-        if low is None:
-            low = high = -value if m[1] else value
-            unit = name
-        elif name == unit:
-            low, high = min(low, value), max(high, value)
-    return None if low is None else (low, high, unit)
+    def ranged(m: Column) -> Column:
+        first = F.get(m, 0)
+        later = F.transform(F.filter(F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), lambda p: p["u"].eqNullSafe(first["u"])), lambda p: F.abs(p["x"]))
+        # least and greatest pass over the null of an empty array
+        return F.when(F.size(m) > 0, F.struct(F.least(first["x"], F.array_min(later)).alias("low"), F.greatest(first["x"], F.array_max(later)).alias("high"), first["u"].alias("unit")))
 
+    return let(pieces, ranged)
 
-def measure(c: Column) -> Column:
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = [read_measure(t) or (None, None, None) for t in texts]
-        return pd.DataFrame(rows, columns=["low", "high", "unit"])
 
-    return F.pandas_udf(read, MEASURE)(c)
+def fold_text(text: str) -> str:
+    """``fold`` of a plain string."""
+    return "".join(ch.upper().casefold()[:1] or ch for ch in text)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -231,22 +251,28 @@ def without_marks(c: Column) -> Column:
 
 def spans(c: Column) -> Column:
     """TXT-26: all runs of a text's words, the longest first."""
-    w = F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
-    sizes = F.sequence(F.size(w), F.lit(1), F.lit(-1))
-    runs = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    return F.flatten(runs)
+    def runs(w: Column) -> Column:
+        sizes = F.sequence(F.size(w), F.lit(1), F.lit(-1))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
+
+    return let(F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+"), runs)
 
 
 def register(spark) -> None:
-    """UD-08: the text functions for SQL users, as functions of strings."""
-    for name, build, kind in (
-        ("cairn_measure", read_measure, MEASURE),
-        ("cairn_fold", fold_text, T.StringType()),
-    ):
-        spark.udf.register(name, F.pandas_udf(
-            (lambda s, b=build: pd.DataFrame([b(t) or (None,) * 3 for t in s], columns=["low", "high", "unit"])) if kind is MEASURE
-            else (lambda s, b=build: s.map(b, na_action="ignore")), kind))
-    spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION cairn_tokens(t STRING) RETURNS ARRAY<STRING>
-        RETURN transform(regexp_extract_all(regexp_replace(regexp_replace(t, '(?<=[\\p{Nd}])(?=\\p{L})', ' '), '(?<=\\p{L})(?=[\\p{Nd}])', ' '), '[\\p{L}\\p{N}]+', 0), x -> lower(x))"""
-    )
+    """UD-08: fold, tokens and measure as SQL functions, over the patterns of the column functions."""
+    a, b = fold_table()
+
+    def say(name: str, gives: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {gives} RETURN {body}")
+
+    r = "r'{}'".format
+    folding = "translate(lower(translate({}, '" + a + "', '" + b + "')), 'ς', 'σ')"
+    say("cairn_fold", "STRING", folding.format("t"))
+    marks = r(r"\p{M}+")
+    say("cairn_tokens", "ARRAY<STRING>", f"regexp_extract_all(cairn_fold(regexp_replace(regexp_replace(regexp_replace(t, {marks}, ''), {r(SEAM)}, '$1 '), {r(BESIDE)}, ' ')), {r(TOKEN)}, 0)")
+    tail, letter = r(r"[^\p{L}\p{N}]+$"), r(r"[\p{L}\p{N}]")
+    unit = f"transform(regexp_extract_all(t, {r(MEASURED)}, 2), u -> nullif({folding.format(f"if(regexp_like(u, {letter}), regexp_replace(u, {tail}, ''), u)")}, ''))"
+    number = f"transform(regexp_extract_all(t, {r(MEASURED)}, 1), x -> CAST(replace(x, ',', '.') AS DOUBLE))"
+    rest = "transform(filter(slice(m, 2, greatest(size(m) - 1, 0)), p -> p['1'] <=> m[0]['1']), p -> abs(p['0']))"
+    ranged = f"if(size(m) > 0, named_struct('low', least(m[0]['0'], array_min({rest})), 'high', greatest(m[0]['0'], array_max({rest})), 'unit', m[0]['1']), NULL)"
+    say("cairn_measure", "STRUCT<low: DOUBLE, high: DOUBLE, unit: STRING>", f"get(transform(array(arrays_zip({number}, {unit})), m -> {ranged}), 0)")

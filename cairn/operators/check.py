@@ -29,15 +29,17 @@ def prepared(df: DataFrame, answer: str, evidence: str, question: str | None = N
     })
     return step.withColumns({
         "_aw": F.array_distinct(tx.content(F.col("_at"))), "_gw": F.array_distinct(tx.content(F.col("_gt"))), "_ew": F.array_distinct(tx.content(F.col("_bt"))),
-        "_qw": F.array_distinct(tx.content(F.col("_qt"))),
+        "_qw": F.array_distinct(tx.content(F.col("_qt"))), "_ha": tx.anchors(F.col("_at")), "_ga": tx.anchors(F.col("_gt")), "_bp": _bigrams(F.col("_bt")),
     })
 
 
+RESERVED = ("_at", "_lt", "_bt", "_gt", "_qt", "_aw", "_gw", "_ew", "_qw", "_ha", "_ga", "_bp")
+
+
 def digits_ok() -> Column:
     """GT-01: every number of the answer stands in the evidence beside one of the same neighbours."""
     at, bt = F.col("_lt"), F.col("_bt")
-    pairs = _bigrams(bt)
-    pair = lambda a, b: F.array_contains(pairs, F.struct(a.alias("a"), b.alias("b")))
+    pair = lambda a, b: F.array_contains("_bp", F.struct(a.alias("a"), b.alias("b")))
 
     def fits(i: Column) -> Column:
         t, before, after = F.get(at, i), F.get(at, i - 1), F.get(at, i + 1)
@@ -59,14 +61,14 @@ def coverage(answer: str) -> Column:
     tails = F.regexp_extract_all(F.coalesce(F.col(answer), F.lit("")), F.lit(r"[\p{L}\p{N}]+['’]([\p{L}]{2,})"), 1)
     attested = F.filter(F.arrays_zip(hosts.alias("h"), tails.alias("t")), lambda z: tx.stem_held(tx.fold(z["h"]), given))
     dropped = F.transform(attested, lambda z: tx.fold(z["t"]))
-    held = F.array_except(F.col("_aw"), dropped)
-    here, there = tx.anchors(F.col("_at")), tx.anchors(F.col("_gt"))
 
     def anchored(w: Column) -> Column:
-        return F.exists(here, lambda h: (h["token"] == w) & F.exists(there, lambda g: (g["number"] == h["number"]) & (F.startswith(g["token"], w) | F.startswith(w, g["token"]))))
+        mine = F.filter("_ha", lambda h: h["token"] == w)
+        return F.exists(mine, lambda h: F.exists("_ga", lambda g: (g["number"] == h["number"]) & (F.startswith(g["token"], w) | F.startswith(w, g["token"]))))
 
-    hit = F.filter(held, lambda w: F.array_contains(given, w) | tx.is_number(w) | tx.stem_held(w, given) | anchored(w))
-    return F.when(F.size(held) > 0, F.size(hit) / F.size(held)).otherwise(F.lit(0.0))
+    hit = lambda w: F.array_contains(given, w) | tx.is_number(w) | tx.stem_held(w, given) | anchored(w)
+    share = lambda held: F.when(F.size(held) > 0, F.size(F.filter(held, hit)) / F.size(held)).otherwise(F.lit(0.0))
+    return tx.let(F.array_except("_aw", dropped), share)
 
 
 def carried() -> Column:
@@ -86,9 +88,9 @@ def unsupported() -> Column:
 
 def grounded_in(value: Column, message: Column) -> Column:
     """GT-11: some longer token of the value begins one of the message, or is begun by one; no token passes."""
-    v = F.filter(tx.tokens(value), lambda t: F.length(t) >= tx.CONTENT)
-    m = F.filter(tx.tokens(message), lambda t: F.length(t) >= tx.CONTENT)
-    return (F.size(v) == 0) | F.exists(v, lambda a: F.exists(m, lambda b: F.startswith(a, b) | F.startswith(b, a)))
+    long = lambda c: F.filter(tx.tokens(c), lambda t: F.length(t) >= tx.CONTENT)
+    met = lambda v, m: (F.size(v) == 0) | F.exists(v, lambda a: F.exists(m, lambda b: F.startswith(a, b) | F.startswith(b, a)))
+    return tx.let(long(value), lambda v: tx.let(long(message), lambda m: met(v, m)))
 
 
 def check(df: DataFrame, answer: str, evidence: str, question: str | None = None) -> DataFrame:
@@ -100,7 +102,7 @@ def check(df: DataFrame, answer: str, evidence: str, question: str | None = None
         "figures_ok": digits_ok(), "figures_present": digits_present(), "coverage": coverage(answer), "carried": carried(),
         "missing": missing(), "unsupported": unsupported(),
     })
-    return ready.withColumn("ok", F.col("figures_ok") & (F.col("coverage") == 1.0)).drop("_at", "_lt", "_bt", "_gt", "_qt", "_aw", "_gw", "_ew", "_qw")
+    return ready.withColumn("ok", F.col("figures_ok") & (F.col("coverage") == 1.0)).drop(*RESERVED)
 
 
 def grounded_sentences(df: DataFrame, key: str, answer: str, evidence: str) -> DataFrame:

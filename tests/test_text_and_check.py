@@ -44,8 +44,18 @@ def test_sentences_names_stamps(spark):
     ("5 m", (5, 5, "m")), ("100 V -240 V", (100, 240, "v")), ("-3 °C", (-3, -3, "°c")), ("15,6 kg", (15.6, 15.6, "kg")), ("8 GB,", (8, 8, "gb")),
     ("14.4 V / 6500 mAh", (14.4, 14.4, "v")), ("360 * 380 mm", (360, 360, None)), ("none", None), ("", None), (None, None),
 ])
-def test_measure(text, want):
-    assert tx.read_measure(text) == want
+def test_measure(spark, text, want):
+    got = column(spark, [text], tx.measure)[0]
+    assert (tuple(got) if got else None) == want
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    tx.register(spark)
+    texts = ["-3,5 mm to 7 mm", "20 °C - 25 °C", "1.2.3", "IPX7Ayak 8gDDR4 İŞ", "50 %, 6", "e\u0301 4 KM.", "", None]
+    spark.createDataFrame([(t,) for t in texts], "t string").createOrReplaceTempView("sql_texts")
+    spoken = spark.sql("SELECT t, cairn_measure(t) m, cairn_tokens(t) k, cairn_fold(t) f FROM sql_texts")
+    built = spark.table("sql_texts").select("t", tx.measure(F.col("t")).alias("m"), tx.tokens(F.col("t")).alias("k"), tx.fold("t").alias("f"))
+    assert spoken.collect() == built.collect()
 
 
 def test_overlap_is_three_valued(spark):
