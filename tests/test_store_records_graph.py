@@ -386,3 +386,26 @@ def test_changes_between_files(spark):
     name = "a" if "a" in wide.columns else "a~2"
     assert [r.failed for r in wide.filter("size(failed) > 0").select("failed").collect()] and wide.filter(F.col(f"`{name}`") == 1.5).count() == 2
     assert ("f1", "a") in {(r.file_path, r.path) for r in schema_drift.failed_casts(df).collect()}
+
+
+def test_renames_fold_into_one_column(spark):
+    def file(name, n, *bodies):
+        return [(name, "s", dt.datetime(2025, 1, n), dt.datetime(2025, 2, 1), i, json.dumps(b), "x") for i, b in enumerate(bodies, 1)]
+
+    rows = (
+        file("s1", 1, {"calls": 1, "b": {"x": 1, "k": "t"}}) + file("s2", 2, {"n_calls": 2, "b": {"x": 2, "k": "t"}})
+        + file("s3", 3, {"call_count": 3, "b": {"x": 3, "k": "t"}}) + file("s4", 4, {"Calls": 4, "b": {"x": 4, "k": "t"}}, {"Calls": "many"})
+        + file("s5", 5, {"Calls": 5, "c": {"x": 5, "k": "t"}}) + file("s6", 6, {"Calls": 6, "c": {"y": 6, "k": "t"}})
+    )
+    df = spark.createDataFrame(rows, LINE)
+    wide = schema_drift.consistent_table(df)
+    got = {(r.file_path, r.line_no): r.asDict() for r in wide.collect()}
+    assert wide.columns[5:-1] == ["b.k", "b.x", "calls"]
+    assert [got[f"s{i}", 1]["calls"] for i in range(1, 7)] == [1, 2, 3, 4, 5, 6] and got["s4", 2]["failed"] == {"calls": "many"}
+    assert [got[f"s{i}", 1]["b.x"] for i in range(1, 7)] == [1, 2, 3, 4, 5, 6]
+    assert schema_drift.failed_casts(df).collect()[0][:2] == ("s4", "calls")
+    # names that stand side by side in a file are different fields
+    beside = schema_drift.consistent_table(spark.createDataFrame(rows + file("s7", 7, {"Calls": 7, "calls": 70, "c": {"y": 7}}), LINE))
+    last = {r.file_path: r.asDict() for r in beside.filter("file_path in ('s2', 's7')").collect()}
+    assert sorted(v for k, v in last["s7"].items() if k.lower().startswith("calls")) == [7, 70] and 2 in last["s2"].values()
+    assert schema_drift.consistent_table(df.limit(0)).count() == 0
