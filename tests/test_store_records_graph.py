@@ -394,7 +394,7 @@ def test_renames_fold_into_one_column(spark):
 
     rows = (
         file("s1", 1, {"calls": 1, "b": {"x": 1, "k": "t"}}) + file("s2", 2, {"n_calls": 2, "b": {"x": 2, "k": "t"}})
-        + file("s3", 3, {"call_count": 3, "b": {"x": 3, "k": "t"}}) + file("s4", 4, {"Calls": 4, "b": {"x": 4, "k": "t"}}, {"Calls": "many"})
+        + file("s3", 3, {"call_count": 3, "b": {"x": 3, "k": "t"}}) + file("s4", 4, {"Calls": 4, "b": {"x": 4, "k": "t"}}, {"Calls": "many"}, {"Calls": 44})
         + file("s5", 5, {"Calls": 5, "c": {"x": 5, "k": "t"}}) + file("s6", 6, {"Calls": 6, "c": {"y": 6, "k": "t"}})
     )
     df = spark.createDataFrame(rows, LINE)
