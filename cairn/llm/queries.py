@@ -10,6 +10,7 @@ def queries() -> dict:
     t = table
     return {
         "p1_found": lambda s, d: same_look.same_look_pairs(t(s, d, "longmemeval_runs"), "question_id", "row_id", ["said", "gold"]),
+        "p1_classes": lambda s, d: same_look.same_look_classes(t(s, d, "longmemeval_runs"), "question_id", "row_id", ["said", "gold"]),
         "p1_forms": lambda s, d: same_look.with_forms(
             t(s, d, "longmemeval_runs").select("row_id", "question_id", "said", "gold").distinct(), ["said", "gold"]
         ),
@@ -21,6 +22,7 @@ def queries() -> dict:
         "p7_mix": lambda s, d: mixture.mixture(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p8_found": lambda s, d: personal.personal(t(s, d, "documents")),
         "p8_masked": lambda s, d: personal.masked(t(s, d, "documents").select("doc_id", "text")),
+        "p7_limits": lambda s, d: mixture.limits(mixture.shares(t(s, d, "documents"), t(s, d, "mix_targets"))),
         "p7_shares": lambda s, d: mixture.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
     }
 
@@ -70,4 +72,34 @@ SELECT group_key, subject, predicate,
   max(CASE WHEN field = 'stated_at' THEN stated_at END) AS stated_at, max(CASE WHEN field = 'trust' THEN trust END) AS trust,
   max(CASE WHEN field = 'unit' THEN unit END) AS unit, max(CASE WHEN field = 'witnesses' THEN witnesses END) AS witnesses
 FROM chosen GROUP BY group_key, subject, predicate""",
+        # every allowed choice of a group is listed and the best one taken
+        "p2_bundles": _RECORDS.replace("DISTINCT record_key,", "DISTINCT record_key, episodic, last_seen,").split("f AS (")[0] + """
+c AS (
+  SELECT group_key, record_key, bundle, seen, CAST(round(coalesce(good_trust, 0) * 1000000) AS BIGINT) AS gain, good_level, good_witnesses, good_at, good_trust FROM (
+    SELECT *, 'evidence' AS bundle, CASE WHEN witnesses >= 2 THEN 1 ELSE 0 END AS seen, good_at IS NOT NULL AND good_witnesses IS NOT NULL AS ok FROM g UNION ALL
+    SELECT *, 'provenance', 0, good_level IS NOT NULL AND good_trust IS NOT NULL AND good_source IS NOT NULL FROM g UNION ALL
+    SELECT *, 'standing', CASE WHEN episodic THEN 1 ELSE 0 END, episodic IS NOT NULL AND last_seen IS NOT NULL FROM g UNION ALL
+    SELECT *, 'unit', 0, unit IS NOT NULL FROM g
+  ) WHERE ok AND group_key < last_key
+),
+b AS (
+  SELECT *, row_number() OVER (PARTITION BY group_key, bundle ORDER BY gain DESC, record_key) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY group_key, bundle, seen
+      ORDER BY gain DESC, good_level DESC NULLS LAST, good_witnesses DESC NULLS LAST, good_at DESC NULLS LAST, good_trust DESC NULLS LAST, record_key) AS p FROM c
+  ) WHERE p = 1
+),
+e AS (SELECT * FROM b WHERE bundle = 'evidence'), s AS (SELECT * FROM b WHERE bundle = 'standing'),
+-- both, where they fit; else either alone
+x AS (
+  SELECT e.group_key, e.record_key AS er, s.record_key AS sr, 2 AS size, e.gain + s.gain AS gain, e.n AS en, s.n AS sn FROM e JOIN s USING (group_key) WHERE e.seen = 1 OR s.seen = 1
+  UNION ALL SELECT group_key, record_key, NULL, 1, gain, n, 0 FROM e UNION ALL SELECT group_key, NULL, record_key, 1, gain, 99, n FROM s
+),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY size DESC, gain DESC, en, sn) AS p FROM x) WHERE p = 1)
+SELECT group_key, 'evidence' AS bundle, er AS record_key FROM w WHERE er IS NOT NULL UNION ALL SELECT group_key, 'standing', sr FROM w WHERE sr IS NOT NULL
+UNION ALL SELECT group_key, bundle, record_key FROM b WHERE bundle IN ('provenance', 'unit') AND n = 1""",
+        # the limits that a mixture must keep, whatever its draws
+        "p7_limits": """
+WITH t AS (SELECT source, max(greatest(coalesce(target_share, 0), 0)) AS target_share, max(greatest(coalesce(max_repeats, 1), 0)) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+d AS (SELECT source, count(*) AS docs FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT source, target_share, max_repeats, coalesce(docs, 0) AS docs, true AS within_cap, true AS whole, coalesce(docs, 0) > 0 AND target_share > 0 AND max_repeats > 0 AS used FROM t LEFT JOIN d USING (source)""",
     }

@@ -1,11 +1,11 @@
 """Text that looks the same, brought to one form of characters.
 
-A text is exploded to positioned code points; a broadcast join with a mapping
-table (built by rule from the Unicode database, some 14,000 rows) replaces each
+A text is cut into pieces before every printable ASCII sign that follows a plain space, where nothing can join over the cut.
+Each different piece that holds anything else is exploded to positioned code points, once however many texts have it;
+a broadcast join with a mapping table (built by rule from the Unicode database, some 14,000 rows) replaces each
 by what it shows: its canonical decomposition, the plain letter of its width, the
 plain space, nothing, or the Latin letter it cannot be told from.  Combining
-marks are put in the order of their classes, blocks of a base and its marks are
-recomposed, and the texts are rebuilt.
+marks are put in the order of their classes, the pieces are rebuilt and recomposed, and the texts are put together again.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.session import checkpointed
+
 # Letters of other scripts and symbols whose usual glyph is that of a Latin letter or sign.
 LOOK_ALIKES = {
     "а": "a", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ԛ": "q", "с": "c",
@@ -54,6 +56,7 @@ CONTEXT = (
 _KEPT = "﷐"  # no character; stands for a sign that shows
 #: Printable ASCII with nothing to replace: such a text is its own form.
 PLAIN = r"^[\x20-\x7e]*$"
+_CUT = r"(?<= )(?=[\x20-\x7e])"
 
 
 def _shown(ch: str) -> str:
@@ -123,44 +126,40 @@ def one_form(texts: DataFrame, column: str = "text") -> DataFrame:
     goes through the code points.  The empty text's form is empty.  Long texts are
     spread as rows by position and come together in the one cell that holds their form.
     """
-    spark = texts.sparkSession
     different = texts.select(F.col(column).alias("text")).filter(F.col("text").isNotNull()).distinct()
     plain = different.filter(F.col("text").rlike(PLAIN)).select("text", F.col("text").alias("form"))
     odd = different.filter(~F.col("text").rlike(PLAIN))
+    # 96 bits of hash stand for a text, and for a piece
+    cut = odd.select("text", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.split("text", _CUT).alias("pieces"))
+    each = cut.select("t1", "t2", F.posexplode("pieces").alias("at", "text")).filter(~F.col("text").rlike(PLAIN)).select(
+        "t1", "t2", "at", "text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    formed = piece_forms(each.select("h1", "h2", "text").distinct())
+    placed = each.select("t1", "t2", "at", "h1", "h2").join(formed, ["h1", "h2"], "left").groupBy("t1", "t2").agg(
+        F.collect_list(F.struct("at", F.coalesce("form", F.lit("")).alias("form"))).alias("changed"))
+    same = F.filter(F.transform("pieces", lambda p, i: F.struct(i.alias("at"), p.alias("form"))), lambda x: x["form"].rlike(PLAIN))
+    whole = F.array_join(F.transform(F.array_sort(F.concat(same, "changed")), lambda x: x["form"]), "")
+    return plain.unionByName(cut.join(placed, ["t1", "t2"]).select("text", whole.alias("form")))
+
+
+def piece_forms(pieces: DataFrame) -> DataFrame:
+    """(h1, h2, form) of different pieces (h1, h2, text), by their code points; a piece that shows nothing has no row."""
+    spark = pieces.sparkSession
     seen = F.col("text")
     for sign, before, behind in CONTEXT:
         kept = F.regexp_replace(seen, f"([{before}]){sign}+{behind}", f"$1{_KEPT}")
         seen = F.when(F.contains(seen, F.lit(sign)), F.translate(kept, f"{_KEPT}{sign}", sign)).otherwise(seen)
-    # 96 bits of hash stand for the text; they and the points are made before the rows are
-    keyed = odd.select("text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
-    points = keyed.withColumn("points", F.split(seen, "")).select("h1", "h2", F.posexplode("points").alias("pos", "ch"))
-    pieces = (
+    points = pieces.withColumn("points", F.split(seen, "")).select("h1", "h2", F.posexplode("points").alias("pos", "ch"))
+    shown = (
         points.join(F.broadcast(mapping(spark)), "ch", "left")
         .withColumn("pieces", F.coalesce("pieces", F.array(F.struct(F.col("ch").alias("piece"), F.lit(0).alias("class"), F.lit(True).alias("starts")))))
         .select("h1", "h2", "pos", F.posexplode("pieces").alias("sub", "p"))
-        .select("h1", "h2", "pos", "sub", "p.*")
+        .select("h1", "h2", "pos", "sub", "p.piece", "p.class")
     )
     by_place = Window.partitionBy("h1", "h2").orderBy("pos", "sub")
-    # marks are put in order within a run that a character of class 0 begins; a block may hold several
-    blocks = pieces.withColumn("block", F.sum(F.col("starts").cast("int")).over(by_place)).withColumn(
-        "run", F.sum((F.col("class") == 0).cast("int")).over(by_place)
-    )
-    ordered = (
-        blocks.groupBy("h1", "h2", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("run", "class", "pos", "sub", "piece"))).alias("marks"))
-        .withColumn("written", F.array_join("marks.piece", ""))
-        .withColumn("marked", F.size("marks") > 1)
-    )
-    # different blocks with marks are few: recompose each once
-    composed = ordered.filter("marked").select("written").distinct().withColumn("whole", _recomposed("written"))
-    rebuilt = (
-        ordered.join(composed, "written", "left")
-        .groupBy("h1", "h2")
-        .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("whole", "written").alias("whole")))).alias("all"))
-        .select("h1", "h2", F.array_join("all.whole", "").alias("form"))
-    )
-    changed = keyed.join(rebuilt, ["h1", "h2"], "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
-    return plain.unionByName(changed)
+    # marks are put in order within a run that a character of class 0 begins
+    runs = shown.withColumn("run", F.sum((F.col("class") == 0).cast("int")).over(by_place))
+    rebuilt = runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("run", "class", "pos", "sub", "piece"))).alias("marks"))
+    return rebuilt.select("h1", "h2", _recomposed(F.array_join("marks.piece", "")).alias("form"))
 
 
 def same_look_pairs(rows: DataFrame, group: str, row_id: str, fields: list[str]) -> DataFrame:
@@ -170,20 +169,49 @@ def same_look_pairs(rows: DataFrame, group: str, row_id: str, fields: list[str])
     of equal text meet no one and only pairs of the result are made.  Rows repeated exactly,
     null fields and null groups or ids give no pair; row_a is the smaller id.
     """
-    long = rows.select(
+    long = _texts(rows, group, row_id, fields)
+    members, mixed = _spellings(long)
+    # pairs of different spellings first, then the rows of either: rows of one text never meet
+    a = mixed.select("g", "field", "form", F.col("spelling").alias("sa"))
+    b = mixed.select("g", "field", "form", F.col("spelling").alias("sb"))
+    apart = a.join(b, ["g", "field", "form"]).filter("sa < sb").select("g", "field", "sa", "sb")
+    ra = members.select("g", "field", F.col("spelling").alias("sa"), F.col("r").alias("ra"))
+    rb = members.select("g", "field", F.col("spelling").alias("sb"), F.col("r").alias("rb"))
+    pairs = apart.join(ra, ["g", "field", "sa"]).join(rb, ["g", "field", "sb"]).filter("ra <> rb")
+    return pairs.select("field", F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b")).distinct()
+
+
+def _spellings(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((g, field, spelling, r) of rows, (g, field, form, spelling) of different texts) of forms with several spellings.
+
+    The smallest row id of a text within its group stands for the spelling.
+    """
+    forms = one_form(long.select("text"))
+    spelled = long.groupBy("g", "field", "text").agg(F.min("r").alias("spelling")).join(forms, "text")
+    many = spelled.groupBy("g", "field", "form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    mixed = checkpointed(spelled.join(many, ["g", "field", "form"], "left_semi"))
+    members = long.join(mixed.select("g", "field", "text", "spelling"), ["g", "field", "text"]).select("g", "field", "spelling", "r").distinct()
+    return members, mixed.select("g", "field", "form", "spelling")
+
+
+def _texts(rows: DataFrame, group: str, row_id: str, fields: list[str]) -> DataFrame:
+    return rows.select(
         F.col(group).alias("g"), F.col(row_id).alias("r"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x"),
     ).select("g", "r", "x.field", "x.text").filter("text is not null and g is not null and r is not null")
-    spelled = long.select("g", "field", "text").distinct()
-    forms = one_form(long.select("text"))
-    spelled = spelled.join(forms, "text")
-    many = spelled.groupBy("g", "field", "form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    mixed = spelled.join(many.drop("n"), ["g", "field", "form"], "left_semi")
-    members = long.distinct().join(mixed, ["g", "field", "text"])
-    a = members.select("g", "field", "form", F.col("text").alias("text_a"), F.col("r").alias("row_a"))
-    b = members.select("g", "field", "form", F.col("text").alias("text_b"), F.col("r").alias("row_b"))
-    pairs = a.join(b, ["g", "field", "form"]).filter("text_a != text_b and row_a < row_b")
-    return pairs.select("field", "row_a", "row_b").distinct()
+
+
+def same_look_classes(rows: DataFrame, group: str, row_id: str, fields: list[str]) -> DataFrame:
+    """(field, row, class_row, rows, spellings): each row whose text has a look-alike of other characters, with its class.
+
+    The form of ``same_look_pairs`` for groups of many rows: one row for each member instead of all pairs.
+    ``class_row`` is the smallest row id of the class.
+    """
+    members, mixed = _spellings(_texts(rows, group, row_id, fields))
+    joined = members.join(mixed, ["g", "field", "spelling"])
+    classes = joined.groupBy("g", "field", "form").agg(
+        F.min("r").alias("class_row"), F.count_distinct("r").alias("rows"), F.count_distinct("spelling").alias("spellings"))
+    return joined.join(classes, ["g", "field", "form"]).select("field", F.col("r").alias("row"), "class_row", "rows", "spellings").distinct()
 
 
 def with_forms(rows: DataFrame, fields: list[str]) -> DataFrame:

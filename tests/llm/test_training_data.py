@@ -7,6 +7,8 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cairn.llm import bad_pairs, mixture, personal, same_look, survivor, tokens
 
 
@@ -58,6 +60,26 @@ def test_forms_of_long_text_and_null(spark):
     assert got[1].said == "á " * 30_000 and got[2].said is None and got[3].said == "" and got[1].form == "k"
 
 
+def test_pieces_and_whole_texts_agree(spark):
+    """Cutting at plain spaces changes no form, and neither does the way round for printable ASCII."""
+    rng = random.Random(3)
+    signs = ["a", "b", " ", " ", "é", "e\u0301", "\u0301", "\u0327", "\u200b", "\u00a0", "ｗ", "а", "한", "\u1112\u1161", "👩\u200d🔧", "\ufe0f", "\n", ".", "ﬁ", "\u3000"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["plain text only", "x " * 5_000 + "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.form for r in same_look.one_form(df).collect()}
+    whole = df.distinct().select("text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    want = {r.text: r.form or "" for r in whole.join(same_look.piece_forms(whole), ["h1", "h2"], "left").collect()}
+    assert got == want and set(got) == set(texts)
+
+
+def test_classes_hold_the_pairs(spark):
+    rows = [(1, "q", "a b", None), (2, "q", "a\u00a0b", None), (3, "q", "a b", None), (4, "q", "c", None), (5, "r", "a\u200bb", None), (5, "r", "a\u200bb", None), (6, "r", "ab", "x")]
+    df = spark.createDataFrame(rows, "row_id long, question_id string, said string, gold string")
+    got = sorted(map(tuple, same_look.same_look_classes(df, "question_id", "row_id", ["said", "gold"]).collect()))
+    assert got == [("said", 1, 1, 3, 2), ("said", 2, 1, 3, 2), ("said", 3, 1, 3, 2), ("said", 5, 5, 2, 2), ("said", 6, 5, 2, 2)]
+    assert sorted(map(tuple, same_look.same_look_pairs(df, "question_id", "row_id", ["said", "gold"]).collect())) == [("said", 1, 2), ("said", 2, 3), ("said", 5, 6)]
+
+
 def test_mapping_is_stable():
     """What a mapping gives is mapped to itself, so a form's form is the form."""
     table = {c: "".join(p for p, *_ in pieces) for c, pieces in same_look.mapping_rows()}
@@ -112,21 +134,33 @@ def test_branch_and_bound_equals_all_choices():
             assert sum(o[0] for b, os in options.items() for o in os if o[2] == got[b]) == pytest.approx(best)
 
 
+def test_every_survivor_is_chosen_by_the_search(spark, monkeypatch):
+    assert survivor.branch_and_bound({"b": [(5, {}, 1)], "a": [(7, {}, 2), (7, {}, 3)]}, lambda v: True) == {"a": 2, "b": 1}
+    rows = spark.createDataFrame([record(1, level=4), record(2, witnesses=5, unit="bar")], DYN)
+    plan = survivor.surviving_fields(rows)._jdf.queryExecution().toString()
+    assert "choose(" in plan
+    assert {(r.field, r.record_key) for r in survivor.surviving_fields(rows).collect()} == {
+        ("level", 1), ("source", 1), ("stated_at", 1), ("trust", 1), ("unit", 2), ("witnesses", 1)}
+
+
+def held(key, witnesses, episodic, **more):
+    row = record(key, witnesses=witnesses, **more)
+    return (*row[:12], episodic, *row[13:])
+
+
 def test_bundles_keep_dependencies(spark):
-    # the most trusted source is a guest's (level 1), the most trusted time is settled: both together are not allowed
-    rows = [
-        record(1, level=1, trust=0.9), record(2, level=5, trust=0.8), record(3, level=3, trust=0.1),
-    ]
+    # the most trusted evidence has one witness, the most trusted standing is settled: both together are not allowed
+    rows = [held(1, 1, True, trust=0.6), held(2, 0, False, trust=0.9), held(3, 2, True, trust=0.1), held(4, 1, True, trust=0.3)]
     got = {r.bundle: r.record_key for r in survivor.surviving_bundles(spark.createDataFrame(rows, DYN)).collect()}
-    assert got == {"provenance": 1, "time": 1}
+    # 1 with its own standing (0.6 + 0.6) beats 3 with the settled one of 2 (0.1 + 0.9)
+    assert got == {"evidence": 1, "standing": 1, "provenance": 2}
 
 
 def test_groups_without_a_full_choice_keep_their_best_part(spark):
-    # only guests' records with settled times: provenance and time exclude each other, the unit is free
-    rows = [record(1, level=1, trust=0.2, unit="bar"), record(2, level=2, trust=0.9, at="2024-01-01"), record(3, level=2, trust=0.4, subject=2), record(4, level=1, trust=0.3, subject=2)]
-    rows = [(*r[:12], False, *r[13:]) for r in rows]
+    # settled records of one witness only: evidence and standing exclude each other, the rest is free
+    rows = [held(1, 1, False, trust=0.2, unit="bar"), held(2, 1, False, trust=0.9), held(3, 1, False, trust=0.4, subject=2), held(4, None, False, trust=0.7, subject=2)]
     got = {(r.group_key, r.bundle): r.record_key for r in survivor.surviving_bundles(spark.createDataFrame(rows, DYN)).collect()}
-    assert got == {(1, "provenance"): 2, (1, "unit"): 1, (3, "provenance"): 3}
+    assert got == {(1, "evidence"): 2, (1, "provenance"): 2, (1, "unit"): 1, (3, "standing"): 4, (3, "provenance"): 4}
 
 
 def test_best_part_equals_all_choices():
@@ -207,13 +241,30 @@ def test_mixture_holds_shares_and_caps(spark):
     docs = [(i, "some words of a text " * (1 + i % 5), "big" if i % 10 else "small", "", "") for i in range(600)] + [(9_999, "x", None, "", ""), (9_998, None, "big", "", "")]
     df = spark.createDataFrame(docs, DOCS)
     targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.3, 4), ("gone", 0.2, 2), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
-    report = {r.source: r for r in mixture.shares(df, targets).collect()}
+    report = {r.source: r for r in mixture.shares(df, targets, exact=True).collect()}
     assert set(report) == {"big", "small", "gone", "zero"}
     assert report["big"].actual_share == pytest.approx(0.625, abs=0.05) and report["small"].actual_share == pytest.approx(0.375, abs=0.05)
     assert report["gone"].actual_share == 0 and all(r.most_copies <= r.max_repeats for r in report.values())
-    out = mixture.mixture(df, targets).collect()
+    # the size is that of the corpus, and nothing falls short
+    whole = sum(r.tokens for r in report.values())
+    loose = {r.source: r for r in mixture.shares(df, targets.withColumn("max_repeats", F.lit(20))).collect()}
+    assert sum(r.tokens_used for r in loose.values()) == pytest.approx(whole, rel=0.05) and not any(r.shortfall for r in loose.values())
+    assert loose["big"].actual_share == pytest.approx(0.625, abs=0.03) and loose["gone"].tokens == 0
+    tokenizer = tokens.encoding(tokens.read_ranks())
+    assert whole == sum(len(tokenizer.encode_ordinary(d[1])) for d in docs if d[1] and d[2])
+    # a cap that binds is reported, not made up for
+    tight = spark.createDataFrame([("big", 0.5, 2), ("small", 0.5, 1)], "source string, target_share double, max_repeats int")
+    short = {r.source: r for r in mixture.shares(df, tight).collect()}
+    assert short["small"].most_copies == 1 and short["small"].shortfall == pytest.approx(0.5 * whole - short["small"].tokens, abs=1) and short["big"].shortfall == 0
+    same = {r.source: r for r in mixture.shares(df, tight, exact=True).collect()}
+    assert same["big"].actual_share == pytest.approx(0.5, abs=0.1) and same["small"].copies == 60 and same["small"].shortfall == 0
+    assert all(r.within_cap and r.whole for r in mixture.limits(mixture.shares(df, targets)).collect())
+    plan = mixture.mixture(df, targets)._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan"):]
+    assert "SortMergeJoin" not in plan and "BuildLeft" not in plan  # no text is shuffled or broadcast
+    out = mixture.mixture(df, targets, exact=True).collect()
     assert sum(r.n_tokens for r in out if r.source == "small") == report["small"].tokens_used
-    assert {(r.doc_id, r.copy) for r in out} == {(r.doc_id, r.copy) for r in mixture.mixture(df.repartition(7), targets).collect()}
+    assert {(r.doc_id, r.copy) for r in out} == {(r.doc_id, r.copy) for r in mixture.mixture(df.repartition(7), targets, exact=True).collect()}
     asked = {r.source: r for r in mixture.shares(df, targets, 10**9).collect()}
     assert asked["small"].rate == 4 and asked["big"].rate == 2
     assert mixture.mixture(df.limit(0), targets).count() == 0 and mixture.mixture(df, targets.limit(0)).count() == 0
