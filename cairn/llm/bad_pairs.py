@@ -1,19 +1,21 @@
 """Broken prompt and response pairs, each with its one defect.
 
 'empty' needs the answer alone.  'echo' traverses a suffix automaton of the question's words and measures what
-part of the answer is copied; nothing but words of asking may be left.  'refusal' runs
-automata of declining phrases over the sentences.  'truncated' keeps a stack of
-delimiters, and where the answer merely lacks its final mark, statistics of all texts
-tell whether its last words ever end a sentence.  'other_language' takes a vote of stop words.
+part of the answer is copied; nothing but words of asking may be left.  'refusal' runs an
+automaton over the words of each sentence that accepts a denial near a word of knowing, finding or saying, whatever the
+wording.  'truncated' keeps a stack of
+delimiters, and where the answer merely lacks its final mark, a second detector, statistics of all texts,
+tells whether its last words ever end a sentence.  'other_language' takes a vote of stop words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,29 +42,36 @@ ASKING = set(
     demandé question bonne vous avez est la votre chiesto domanda buona hai è perguntou pergunta boa
     q a user assistant""".split()
 )
-# Phrases that decline, by language, folded to lower case.
-REFUSALS = {
-    "en": """don't know|do not know|no idea|can't answer|cannot answer|can not answer|could not answer|couldn't answer|can't help|cannot help
-        |unable to|not able to|isn't something i am able|couldn't find|could not find|can't find|cannot find|did not find|didn't find|no record|no line about|no line on
-        |never mentioned|not mentioned|wasn't mentioned|never told|not been told|say nothing|says nothing|nothing in the store|nothing in my|nothing about|no information
-        |has to stay open|have to leave|must stay open|no mention|don't have|do not have|can't tell|cannot tell|can't say|cannot say|does not say|doesn't say
-        |not answerable|cannot be answered|can't be answered|not available|not known|isn't known|unknown to me|not sure|refuse to|won't answer|decline to""",
-    "tr": """bilmiyorum|bilemiyorum|bulamadım|bulamıyorum|yardımcı olamıyorum|yardımcı olamam|yanıtlayamam|yanıtlayamıyorum|cevaplayamam|cevaplayamıyorum|cevap veremem
-        |geçmiyor|bir şey yok|bilgi yok|bilgim yok|kayıt yok|anlatılmadı|söylenmedi|söz edilmedi|bahsedilmedi|satırım yok|satır yok|yanıtlanamaz|cevaplanamaz|söyleyemem|emin değilim|fikrim yok
-        |açık kalmalı|açık kalıyor|açık kalsın|bilinmiyor""",
-    "es": """no lo sé|no sé|no puedo|no lo encontré|no lo encuentro|no encontré|no encuentro|no consta|no hay nada|no hay ningún|no hay información|nadie me lo|nunca se mencion
-        |no se mencion|no tengo ninguna|no tengo información|no tengo datos|no dispongo|desconozco|sin respuesta|no lo dice|ni idea|no me es posible|no aparece|no figura|queda abierto|quedar abierto|no estoy segur""",
-    "de": """weiß ich nicht|weiß es nicht|weiß das nicht|ich nicht weiß|kann ich nicht|kann das nicht|nicht helfen|nicht beantworten|nie gesagt|nie erwähnt|nicht erwähnt|keinen eintrag|kein eintrag|steht nichts
-        |keine zeile|keine angabe|keine information|in keiner der quellen|nicht gefunden|nicht finden|keine ahnung|nicht zu beantworten|bleibt offen|offen bleiben|nicht sagen|sagt es nicht|sagt nichts|nicht bekannt|nicht sicher|lässt sich nicht""",
-    "fr": """je ne sais pas|ne peux pas|pas trouvé|aucune trace|aucune information|rien trouvé|pas mentionné|jamais mentionné|sans réponse""",
-    "it": """non lo so|non posso|non ho trovato|nessuna traccia|nessuna informazione|mai menzionato|non so rispondere|non è noto""",
-    "pt": """não sei|não posso|não encontrei|nenhum registro|nenhuma informação|nunca mencionado|sem resposta""",
+# Beginnings of words that deny, and of words of knowing, finding, saying and helping, by language.  A sentence with
+# one of either within NEAR words of each other declines; '=' stands before whole words.
+DENYING = {
+    "en": "=not =no =never =none =nothing =nobody =neither =without =cannot =don't =doesn't =didn't =can't =couldn't =won't =wouldn't =isn't =aren't =wasn't =weren't =haven't =hasn't =ain't unable impossible refus declin lack",
+    "tr": "=yok =değil =hiç =hiçbir =yoktur",
+    "es": "=no =nunca =ni =sin =ningún =ninguna =ninguno =nada =nadie =tampoco =jamás imposible carezco",
+    "de": "=nicht =nichts =nie =niemals =niemand =ohne kein unmöglich",
+    "fr": "=ne =pas =jamais =aucun =aucune =rien =sans =impossible",
+    "it": "=non =mai =nessun =nessuna =niente =nulla =senza impossibile",
+    "pt": "=não =nunca =nenhum =nenhuma =nada =sem impossível",
 }
-# What may stand beside a refusal and still answers nothing.
-ASIDES = """sorry|i'm afraid|unfortunately|to be honest|could you tell me|please ask|ask the keeper|rather not guess|guessing would|add a document|try adding|tell me more|let me know|hm
-    |üzgünüm|maalesef|ne yazık ki|açıkçası|bilgi verir misin|tahmin etmek|sorabilirsin|belge ekle|bekçiye sor
-    |lo siento|perdona|por desgracia|la verdad|puedes darme|podrías darme|prefiero no|pregunta al|pregúntale|preguntar al|añade|agrega
-    |leider|tut mir leid|entschuldig|ehrlich gesagt|kannst du mir|könntest du|lieber nicht|frag bitte|frag den|bitte frag|füge|raten"""
+KNOWING = {
+    "en": "know knew tell told say =said =state =states =stated answer help assist find found recall remember recollect inform record mention idea clue =sure =certain determin confirm verif locat trace evidence data detail access aware familiar cover document specif list line note able about on",
+    "tr": "bilgi kayıt kaydı satır fikr fikir emin iz veri not şey yanıt cevap ipucu söz bahis",
+    "es": "=sé sab pued podr poder encontr encuentr consta mencion inform dato record recuerd dic =dijo dicho respond contest respuesta idea segur registr aparec figur ayud hay tengo dispon =contar contad =contó posible",
+    "de": "weiß wiss wusst sag gesagt find gefunden beantwort antwort helf helfen erwähn eintrag angabe information ahnung bekannt sicher erinner steht hinweis auskunft notiz daten hervor ersichtlich quelle zeile lässt kann könn",
+    "fr": "sais savoir peux pouv trouv trace information mention répon réponse idée =sûr dit",
+    "it": "so sapere posso potere trovat trovo traccia informazion menzion rispond risposta idea sicur detto noto",
+    "pt": "sei saber posso poder encontr registro informa mencion respond resposta ideia certeza disse",
+}
+NEAR = 4
+# Turkish denies within the verb: roots of knowing, finding and saying, and the endings of denial behind them.
+TURKISH = r"(?:bil|bul|bulun|hatırla|anımsa|söyle|söylen|yanıtla|yanıtlan|cevapla|cevaplan|ulaş|rastla|geç|görün|anlat|anlatıl|belirt|belirtil|bahsed|bahsedil|edil|veril|yer al|ver|ol)(?:y?[ae])?m[aeıiuü]\w*"
+# What says that a question stays without answer and denies nothing.
+OPEN = "stay open|stays open|remain open|remains open|leave open|leave it open|leave that open|left open|unknown|unanswerable|açık kal|belirsiz|bilinmez|abiert|desconoc|ignoro|offen|unbekannt|sans réponse|inconnu|sconosciut|ignoro|desconhec"
+# Beginnings of what may stand beside a refusal and still answers nothing: regret, requests, advice.
+ASIDES = """sorry|afraid|unfortunately|regret|apolog|to be honest|please|could you|can you|would you|tell me|ask|try|add|rather not|guess|let me know|hm
+    |üzgün|maalesef|ne yazık|açıkçası|lütfen|misin|mısın|tahmin|sor|ekle|özür
+    |lo siento|perdon|disculp|por desgracia|lament|la verdad|puedes|podrías|prefiero|pregunt|añad|agreg|adivin
+    |leider|leid|entschuldig|ehrlich|kannst du|könntest du|lieber nicht|bitte|frag|füg|rate"""
 
 
 def fold(text: str) -> str:
@@ -70,26 +79,65 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text).upper().casefold().replace("̇", "")
 
 
-def _phrases(text: str) -> list[str]:
-    return [fold(p.strip()) for p in text.replace("\n", " ").split("|") if p.strip()]
+_fold_word = lru_cache(1 << 16)(fold)
+_FILLER = frozenset(map(fold, FILLER))
+_ASKING = frozenset(map(fold, ASKING))
+_VERB = re.compile(fold(TURKISH).replace("\\W", "\\w"))
 
 
 @cache
-def _automaton(kind: str):
-    """Aho-Corasick automaton of all languages' phrases; spaces bound a phrase's first word."""
+def _automaton(text: str):
+    """Aho-Corasick automaton of phrases; a space bounds a phrase's first word."""
     import ahocorasick
 
-    words = _phrases("|".join(REFUSALS.values())) if kind == "refusal" else _phrases(ASIDES)
     found = ahocorasick.Automaton()
-    for w in words:
+    for w in filter(None, (fold(p.strip()) for p in text.replace("\n", " ").split("|"))):
         found.add_word(f" {w}", w)
     found.make_automaton()
     return found
 
 
+@cache
+def _classes() -> list[tuple[frozenset, tuple, frozenset, tuple]]:
+    """(whole words, beginnings) of denial and of knowing, for each language."""
+    split = lambda text: (frozenset(fold(w[1:]) for w in text.split() if w[0] == "="), tuple(fold(w) for w in text.split() if w[0] != "="))
+    return [(*split(DENYING[x]), *split(KNOWING[x])) for x in DENYING]
+
+
+@lru_cache(1 << 16)
+def _roles(word: str) -> tuple[int, int, bool]:
+    """Bits of the languages in which a word denies, and in which it is one of knowing; and whether it denies by itself."""
+    deny = know = 0
+    for i, (whole, begins, known, starts) in enumerate(_classes()):
+        deny |= (word in whole or bool(begins) and word.startswith(begins)) << i
+        know |= (word in known or word.startswith(starts)) << i
+    return deny, know, _VERB.fullmatch(word) is not None
+
+
+def _plain(sentence: str) -> str:
+    return " " + re.sub(r"\s+", " ", re.sub(r"[^\w\s'/]", " ", fold(sentence).replace("’", "'")))
+
+
+def _denies(text: str) -> bool:
+    """A denial within ``NEAR`` words of a word of knowing, in one language; or a verb that denies; or a question left open."""
+    last: list[tuple[int, int, int]] = []
+    for at, word in enumerate(text.split()):
+        deny, know, itself = _roles(word)
+        if itself:
+            return True
+        if deny or know:
+            for i, d, k in reversed(last):
+                if at - i > NEAR:
+                    break
+                if deny & k or know & d:
+                    return True
+            last.append((at, deny, know))
+    return next(_automaton(OPEN).iter(text), None) is not None
+
+
 def _says(kind: str, sentence: str) -> bool:
-    text = " " + re.sub(r"\s+", " ", re.sub(r"[^\w\s'/]", " ", fold(sentence).replace("’", "'")))
-    return next(_automaton(kind).iter(text), None) is not None
+    text = _plain(sentence)
+    return _denies(text) if kind == "refusal" else next(_automaton(ASIDES).iter(text), None) is not None
 
 
 class SuffixAutomaton:
@@ -128,7 +176,7 @@ class SuffixAutomaton:
 
     def copied(self, words: list[str]) -> tuple[list[bool], int]:
         """(whether each word lies in a copied run of at least two, the longest run)."""
-        hit, state, run, longest = [False] * len(words), 0, 0, 0
+        hit, opens, state, run, longest = [False] * len(words), [0] * (len(words) + 1), 0, 0, 0
         for i, w in enumerate(words):
             while state and w not in self.next[state]:
                 state = self.link[state]
@@ -136,13 +184,27 @@ class SuffixAutomaton:
             if w in self.next[state]:
                 state, run = self.next[state][w], run + 1
             longest = max(longest, run)
-            if run >= 2:
-                for j in range(i - run + 1, i + 1):
-                    hit[j] = True
+            if run >= 2:  # a difference array: copied runs open and close
+                opens[i - run + 1] += 1
+                opens[i + 1] -= 1
+        depth = 0
+        for i in range(len(words)):
+            depth += opens[i]
+            hit[i] = depth > 0
         return hit, longest
 
 
+@lru_cache(1024)
+def _suffixes(words: tuple[str, ...]) -> SuffixAutomaton:
+    return SuffixAutomaton(words)
+
+
 def words_of(text: str) -> list[str]:
+    return _short_words(text) if len(text) < 500 else WORD.findall(fold(text))
+
+
+@lru_cache(1 << 14)
+def _short_words(text: str) -> list[str]:
     return WORD.findall(fold(text))
 
 
@@ -159,32 +221,50 @@ def _votes() -> dict[str, dict[str, float]]:
 SIGNS = {"ı": "tr", "ğ": "tr", "ş": "tr", "ß": "de", "¿": "es", "¡": "es", "ñ": "es"}
 SELDOM = ("nl", "sv", "pl", "id", "pt", "it")
 _SCRIPT = {name: re.compile(f"[{span}]") for name, span in SCRIPTS.items()}
+_FAR = re.compile(f"[{''.join(SCRIPTS.values())}]")
 
 
 def votes(text: str) -> Counter:
     """Votes for each language; half or more letters of another script outvote all words."""
-    letters = sum(c.isalpha() for c in text)
-    for name, pattern in _SCRIPT.items():
-        if letters and 2 * len(pattern.findall(text)) >= letters:
-            return Counter({name: 100.0})
     out: Counter = Counter()
-    for sign, language in SIGNS.items():
-        if sign in text:
-            out[language] += sum(sign in w for w in text.split() if not w[:1].isupper())
+    if not text.isascii():
+        if _FAR.search(text):
+            letters = sum(map(str.isalpha, text))
+            for name, pattern in _SCRIPT.items():
+                if letters and 2 * len(pattern.findall(text)) >= letters:
+                    return Counter({name: 100.0})
+        for sign, language in SIGNS.items():
+            if sign in text:
+                out[language] += sum(sign in w for w in text.split() if not w[:1].isupper())
+    known = _votes()
     for w in words_of(text):
         for x in {w, *w.split("'")} if "'" in w else (w,):
-            for language, part in _votes().get(x, {}).items():
-                out[language] += part
+            if x in known:
+                for language, part in known[x].items():
+                    out[language] += part
     return Counter({x: n * (0.9 if x in SELDOM else 1.0) for x, n in out.items()})
 
 
+_QUOTE = re.compile("[\"“”„«»‘’`]")
+
+
 def without_quotes(text: str) -> str:
     return re.sub(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|‘[^’]*’|`[^`]*`", " ", text)
 
 
+@lru_cache(4096)
+def _asked(question: str) -> tuple[Counter, str | None]:
+    counted = votes(question)
+    return counted, _leading(counted)
+
+
 def language(question: str) -> str | None:
     """The language with most votes, where it leads."""
-    top = votes(question).most_common(2)
+    return _asked(question)[1]
+
+
+def _leading(counted: Counter) -> str | None:
+    top = counted.most_common(2)
     if not top or len(top) > 1 and top[0][1] == top[1][1]:
         return None
     return top[0][0]
@@ -192,11 +272,10 @@ def language(question: str) -> str | None:
 
 def in_other_language(question: str, body: str) -> bool:
     """Another language than the question's clearly leads outside quotations and copied words."""
-    asked = votes(question)
-    own = language(question)
+    asked, own = _asked(question)
     if own is None:
         return False
-    said = votes(without_quotes(body))
+    said = votes(without_quotes(body) if _QUOTE.search(body) else body)
     if not said:
         return False
     best, most = said.most_common(1)[0]
@@ -221,23 +300,31 @@ def unclosed(text: str) -> bool:
     return bool(stack)
 
 
+@cache
+def _unseen() -> re.Pattern:
+    """Format and control characters."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Cf", "Cc")) + "]")
+
+
 def is_empty(body: str) -> bool:
     """Nothing to read: no letter or digit, or filler words alone."""
-    text = unicodedata.normalize("NFKC", body)
-    shown = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc"))
-    words = re.findall(r"[^\W_]+(?:/[^\W_]+)*", shown)
-    return not words or all(fold(w) in {fold(f) for f in FILLER} for w in words)
+    if body.isascii():
+        shown = re.sub(r"[\x00-\x1f\x7f]", "", body)
+    else:
+        shown = _unseen().sub("", unicodedata.normalize("NFKC", body))
+    # the first word that is no filler ends the search
+    return all(fold(m[0]) in _FILLER for m in re.finditer(r"[^\W_]+(?:/[^\W_]+)*", shown))
 
 
 def is_echo(question: str, body: str, gold: str | None) -> bool:
     asked, said = words_of(question), words_of(body)
     if not asked or not said:
         return False
-    hit, longest = SuffixAutomaton(asked).copied(said)
+    hit, longest = _suffixes(tuple(asked)).copied(said)
     if len(asked) == 1:
         hit, longest = [w == asked[0] for w in said], int(asked[0] in said)
     rest = [w for w, h in zip(said, hit) if not h]
-    if longest < 0.8 * len(asked) or any(fold(w) not in {fold(x) for x in ASKING} for w in rest):
+    if longest < 0.8 * len(asked) or any(w not in _ASKING for w in rest):
         return False
     wanted = words_of(gold or "")
     return not (wanted and set(wanted) <= set(rest))
@@ -255,9 +342,7 @@ def declines(text: str) -> bool:
 
 
 def is_refusal(question: str, body: str, gold: str | None) -> bool:
-    if gold is None or not gold.strip() or _says("refusal", gold):
-        return False
-    if not declines(body):
+    if gold is None or not gold.strip() or not declines(body) or _says("refusal", gold):
         return False
     wanted, said = words_of(gold), words_of(body)
     if wanted and " ".join(wanted) in " ".join(said):
@@ -270,7 +355,7 @@ def shape(token: str) -> str:
     """A word as the statistics see it: digits are alike, and so are capitalised words."""
     if token[:1].isdigit():
         return re.sub(r"\d", "0", token)
-    return "Xx" if token[:1].isupper() else fold(token)
+    return "Xx" if token[:1].isupper() else _fold_word(token)
 
 
 def grams(sentence: str) -> list[tuple[str, str, str, str]]:
@@ -282,7 +367,7 @@ def grams(sentence: str) -> list[tuple[str, str, str, str]]:
     # a name of several words is one word
     words = [w for w, after in zip(words, [*words[1:], ""]) if not (w[:1].isupper() and after[:1].isupper())]
     shapes = ["<s>", "<s>", "<s>", *(shape(w) for w in words)]
-    plain = ["<s>", "<s>", "<s>", *(fold(w) for w in words)]
+    plain = ["<s>", "<s>", "<s>", *map(_fold_word, words)]
     return [
         (
             f"4:{' '.join(plain[i - 3 : i])} {shapes[i]}", f"3:{' '.join(shapes[i - 2 : i + 1])}",
@@ -308,11 +393,10 @@ def judged(question: str | None, gold: str | None, said: str | None) -> tuple[st
     if is_empty(body):
         return "empty", None
     text = body.rstrip()
-    if unclosed(text) or re.search(r"(?:…|\.\.\.)[\"'”»]?$|[^\W_][-‐–]$|[,;:]$", text):
-        if not is_echo(question, text, gold):
-            return "truncated", None
-    if is_echo(question, body, gold):
+    if is_echo(question, text, gold):
         return "echo", None
+    if unclosed(text) or re.search(r"(?:…|\.\.\.)[\"'”»]?$|[^\W_][-‐–]$|[,;:]$", text):
+        return "truncated", None
     ending = None
     if not finished(text) and masked(text) != masked(gold or ""):
         ending = text
@@ -371,7 +455,12 @@ PAIR = "pair_id long, defect string, four string, three string, two string, one
 
 
 def defects(pairs: DataFrame, share: float = 0.5) -> DataFrame:
-    """(pair_id, defect) of each defective pair; whole pairs have no row, and no pair has two.
+    """(pair_id, defect) of each defective pair; whole pairs have no row, and no pair has two.  See ``detected``."""
+    return detected(pairs, share).select("pair_id", "defect").distinct()
+
+
+def detected(pairs: DataFrame, share: float = 0.5) -> DataFrame:
+    """(pair_id, defect, detector): 'pair' where the pair alone shows the defect, 'endings' where the statistics of all texts do.
 
     Null answers are 'empty', null questions and golds are treated as missing.  Rows repeated exactly
     count once; a null pair_id is kept as null.  ``share`` is the part of an ending's occurrences
@@ -417,5 +506,5 @@ def defects(pairs: DataFrame, share: float = 0.5) -> DataFrame:
         F.when(F.col("one") > 0, F.col("one_end")), F.lit(0.0),
     )
     cut = (F.col("whole") == 0) & ((F.coalesce("word", F.lit(0)) == 0) | (ends < share))
-    settled = known.select("pair_id", F.when(cut, "truncated").otherwise(F.col("defect")).alias("defect"))
-    return sure.unionByName(settled).filter("defect is not null").distinct()
+    settled = known.select("pair_id", F.when(cut, "truncated").otherwise(F.col("defect")).alias("defect"), F.when(cut, "endings").otherwise("pair").alias("detector"))
+    return sure.withColumn("detector", F.lit("pair")).unionByName(settled).filter("defect is not null").distinct()

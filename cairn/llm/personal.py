@@ -9,9 +9,11 @@ text, and each span is mapped back to the characters of the source.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex
@@ -62,12 +64,43 @@ _DISGUISES = regex.compile(
     rf"|(?P<digits>\b(?:{'|'.join(_SPELLED)})(?:[\s,-]+(?:{'|'.join(_SPELLED)})){{6,}}\b)",
     regex.I,
 )
-_QUICK = re.compile(
-    rf"[(\[{{<]\s*(?:at|arroba|a|ät|@|dot|punto|punkt|nokta|\.)\s*[)\]}}>]|\s(?:dot|punto|punkt|nokta)\s|\b(?:{'|'.join(_SPELLED)})[\s,-]+(?:{'|'.join(_SPELLED)})[\s,-]+(?:{'|'.join(_SPELLED)})\b", re.I
-)
+_BRACKETED = re.compile(r"[(\[{<]\s*(?:at|arroba|a|ät|@|dot|punto|punkt|nokta|\.)\s*[)\]}>]", re.I)
+_SPOKEN_SIGN = re.compile(r"\s(?:dot|punto|punkt|nokta)\s", re.I)
+_CONTROL = re.compile(r"[\x00-\x08]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _disguised(text: str) -> bool:
+    """A bracketed or spoken sign, or three spelled digits: the plain test before the transducer."""
+    if _BRACKETED.search(text) or _SPOKEN_SIGN.search(text):
+        return True
+    n = 0
+    for m in _LETTERS.finditer(text.lower()):
+        n += m[0] in _SPELLED
+        if n >= 3:
+            return True
+    return False
+
+
 _SPOKEN_DOT = regex.compile(r"\s+(?:dot|punto|punkt|nokta)\s+", regex.I)
 _HIDDEN = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in UNSEEN if b < 0x10000 and a not in (0x00,)) + "\\x00-\\x08"
-_ODD = regex.compile(rf"[{_HIDDEN}]+|.\p{{M}}+|[^\x00-\x7f]")
+
+
+@cache
+def _changing() -> tuple[frozenset[str], frozenset[str]]:
+    """(characters whose plain reading differs, by rule; combining marks)."""
+    every = [c for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    hidden = re.compile(f"[{_HIDDEN}]")
+    changed = frozenset(c for c in every if (ord(c) > 0x7F and _plain_text(c) != c) or hidden.match(c))
+    return changed, frozenset(c for c in every if unicodedata.category(c)[0] == "M")
+
+
+@lru_cache(1024)
+def _class_of(signs: str) -> re.Pattern:
+    return re.compile(f"[{re.escape(signs)}]")
+
+
+_MARKED = regex.compile(rf"[{_HIDDEN}]+|.\p{{M}}+|[^\x00-\x7f]")
 
 
 def _replace(text: str, at: list[tuple[int, int]], hits: Iterator[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -103,7 +136,11 @@ def _source(points: list[tuple[int, int]], place: int) -> int:
 
 
 def _plain_char(m) -> str:
-    text = m.group()
+    return _plain_text(m.group())
+
+
+@lru_cache(1 << 14)
+def _plain_text(text: str) -> str:
     if unicodedata.category(text[0]) in ("Cf", "Cc"):
         return ""
     text = unicodedata.normalize("NFC", text)
@@ -117,8 +154,12 @@ def _plain_char(m) -> str:
 def plain(text: str) -> tuple[str, list[tuple[int, int]]]:
     """(plain reading, break points) of a text."""
     points = [(0, 0)]
-    if not text.isascii() or _ODD.search(text):
-        text, points = _replace(text, points, ((m.start(), m.end(), _plain_char(m)) for m in _ODD.finditer(text)))
+    if not text.isascii() or _CONTROL.search(text):
+        changed, marks = _changing()
+        if not marks.isdisjoint(text):
+            text, points = _replace(text, points, ((m.start(), m.end(), _plain_char(m)) for m in _MARKED.finditer(text)))
+        elif signs := "".join(sorted(changed.intersection(text))):
+            text, points = _replace(text, points, ((m.start(), m.end(), _plain_char(m)) for m in _class_of(signs).finditer(text)))
 
     def undisguised(text: str) -> Iterator[tuple[int, int, str]]:
         spoken_until = 0
@@ -134,7 +175,7 @@ def plain(text: str) -> tuple[str, list[tuple[int, int]]]:
             elif m.start() >= spoken_until:
                 yield m.start(), m.end(), "@" if m["at"] else "."
 
-    if _QUICK.search(text):
+    if _disguised(text):
         text, points = _replace(text, points, undisguised(text))
     return text, points
 
@@ -199,6 +240,7 @@ _BEFORE_VESSEL = regex.compile(rf"(?<!\w)(?:{VESSELS})\s+(?:[\"“'„«]\s*)?$"
 _STREET_AFTER = regex.compile(rf"\s+(?:{STREETS_AFTER}|{STREETS_TR})(?!\w)")
 
 
+@lru_cache(1 << 16)
 def _low(word: str) -> str:
     return word.casefold().replace("i̇", "i")
 
@@ -209,6 +251,7 @@ class _Words:
     def __init__(self, text: str):
         self.text = text
         self.at = [m.span() for m in _WORD.finditer(text)]
+        self.low = [_low(text[a:b]) for a, b in self.at]
 
     def word(self, i: int) -> str:
         a, b = self.at[i] if 0 <= i < len(self.at) else (0, 0)
@@ -240,13 +283,13 @@ class _Words:
         return not (before and (before in "@._+-/'’º" or before.isdigit()))
 
     def title(self, i: int) -> bool:
-        low = _low(self.word(i))
+        low = self.low[i]
         if low not in _TITLES or not self.word(i)[0].isupper() or not self.free_initial(i):
             return False
         return self.joined(i, breaks=True) or low in _SHORT and self.joined(i, ".", breaks=True)
 
     def given(self, i: int) -> bool:
-        return 0 <= i < len(self.at) and _low(self.word(i)) in _GIVEN
+        return 0 <= i < len(self.at) and self.low[i] in _GIVEN
 
     def family(self, i: int, capital: bool = True) -> bool:
         """A word that may be a family name: long enough, free, no function word, written with a capital where names are."""
@@ -299,15 +342,22 @@ def _name_at(words: _Words, i: int, titled: bool) -> tuple[int, int, int] | None
 
 def names(text: str) -> Iterator[tuple[int, int]]:
     words = _Words(text)
-    at, n, i, hot = words.at, len(words.at), 0, -1
-    while i < n:
+    at, n, done = words.at, len(words.at), 0
+    # a name begins at a title, a given name, an initial, or a word before a given name or an initial
+    starts = set()
+    for i, low in enumerate(words.low):
+        if low in _GIVEN:
+            starts.update((i - 1, i))
+        elif low in _TITLES:
+            starts.add(i)
+        if at[i][1] - at[i][0] == 1:
+            starts.update((i - 1, i))
+    for i in sorted(starts):
+        if i < done:
+            continue
         a, b = at[i]
-        word = text[a:b]
-        low = _low(word)
         titled = words.title(i)
-        # a name begins at a title, a given name, an initial, or a word before a given name or an initial
-        if not (titled or low in _GIVEN or len(word) == 1 or i + 1 < n and (words.given(i + 1) or b < len(text) and text[b] == "," and words.initial(i + 1))):
-            i += 1
+        if not (titled or words.low[i] in _GIVEN or b - a == 1 or words.given(i + 1) or text[b : b + 1] == "," and words.initial(i + 1)):
             continue
         j = i
         while titled and j + 1 < n:
@@ -316,10 +366,9 @@ def names(text: str) -> Iterator[tuple[int, int]]:
                 break
         name = _name_at(words, j, titled)
         if name is None or _BEFORE_VESSEL.search(text[max(0, a - 24) : a]) or _STREET_AFTER.match(text, name[1]):
-            i += 1
             continue
         yield name[0], name[1]
-        i = name[2] + 1
+        done = name[2] + 1
 
 
 def _alone(text: str, start: int, end: int) -> bool:
@@ -334,9 +383,10 @@ def found(text: str | None) -> list[tuple[str, int, int]]:
         return []
     read, points = plain(text)
     spans: list[tuple[int, int, int]] = []
-    for m in _EMAIL.finditer(read):
-        spans.append((0, *m.span()))
-    for pattern in (_EN, _TR, _ES, _DE):
+    digits = sum(map(len, re.findall(r"\d+", read)))
+    if "@" in read:
+        spans += [(0, *m.span()) for m in _EMAIL.finditer(read)]
+    for pattern in (_EN, _TR, _ES, _DE) if digits else ():
         for m in pattern.finditer(read):
             start, end = m.span()
             if m.groupdict().get("t2") and pattern is not _TR:
@@ -347,28 +397,29 @@ def found(text: str | None) -> list[tuple[str, int, int]]:
             if m.groupdict().get("t2") and pattern is _TR and _low(m["t2"].split()[0]) in _ORDINARY:
                 end = start + len(read[start : m.start("t2")].rstrip(", "))
             spans.append((1, start, end))
-    for m in _ID.finditer(read):
-        digits = m[0]
-        if digits.isdigit() and len(digits) == 11:
+    for m in _ID.finditer(read) if digits >= 6 else ():
+        number = m[0]
+        if number.isdigit() and len(number) == 11:
             before = read[max(0, m.start() - 40) : m.start()]
             after = read[m.end() : m.end() + 24]
             labels = [x.end() for x in _LABELLED.finditer(before)] or [0] * bool(_LABELLED.search(after))
             calls = [x.end() for x in _CALL.finditer(before)]
-            by_form = digits.startswith(("0000", "07"))
+            by_form = number.startswith(("0000", "07"))
             if calls and (not labels or calls[-1] > labels[-1]) or by_form and not labels:
                 spans.append((3, *m.span()))
                 continue
         spans.append((2, *m.span()))
-    for m in _PHONE.finditer(read):
+    for m in _PHONE.finditer(read) if digits >= 7 else ():
         if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
             lead = len(m[0]) - len(m[0].lstrip())
             spans.append((3, m.start() + lead, m.end()))
     spans += [(4, *s) for s in names(read)]
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order and apart, so that two neighbours decide
     for kind, start, end in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        i = bisect_right(taken, (start, 1 << 62))
+        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+            taken.insert(i, (start, end))
             out.append((KINDS[kind], _source(points, start), _source_end(points, end)))
     return sorted(out, key=lambda s: s[1])
 

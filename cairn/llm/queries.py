@@ -18,6 +18,7 @@ def queries() -> dict:
         "p2_records": lambda s, d: survivor.surviving_records(t(s, d, "dynamics")),
         "p2_bundles": lambda s, d: survivor.surviving_bundles(t(s, d, "dynamics")),
         "p3_found": lambda s, d: bad_pairs.defects(t(s, d, "gate_blame")),
+        "p3_parts": lambda s, d: bad_pairs.detected(t(s, d, "gate_blame")),
         "p6_ids": lambda s, d: tokens.encoded(t(s, d, "documents")),
         "p7_mix": lambda s, d: mixture.mixture(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p8_found": lambda s, d: personal.personal(t(s, d, "documents")),
