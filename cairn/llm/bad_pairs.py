@@ -11,7 +11,6 @@ tells whether its last words ever end a sentence.  'other_language' takes a vote
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -303,7 +302,7 @@ def unclosed(text: str) -> bool:
 @cache
 def _unseen() -> re.Pattern:
     """Format and control characters."""
-    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Cf", "Cc")) + "]")
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, (*range(0x20000), *range(0xE0000, 0xE0200))) if unicodedata.category(c) in ("Cf", "Cc")) + "]")
 
 
 def is_empty(body: str) -> bool:

@@ -9,7 +9,6 @@ text, and each span is mapped back to the characters of the source.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -86,10 +85,14 @@ _SPOKEN_DOT = regex.compile(r"\s+(?:dot|punto|punkt|nokta)\s+", regex.I)
 _HIDDEN = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in UNSEEN if b < 0x10000 and a not in (0x00,)) + "\\x00-\\x08"
 
 
+#: Code points that a rule may change; beyond them the database has no decompositions, marks or format characters.
+SCANNED = ((0, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+
+
 @cache
 def _changing() -> tuple[frozenset[str], frozenset[str]]:
     """(characters whose plain reading differs, by rule; combining marks)."""
-    every = [c for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    every = [chr(c) for a, b in SCANNED for c in range(a, b) if not 0xD800 <= c <= 0xDFFF]
     hidden = re.compile(f"[{_HIDDEN}]")
     changed = frozenset(c for c in every if (ord(c) > 0x7F and _plain_text(c) != c) or hidden.match(c))
     return changed, frozenset(c for c in every if unicodedata.category(c)[0] == "M")
