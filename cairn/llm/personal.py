@@ -208,7 +208,7 @@ _DE = regex.compile(
 
 _LABEL = r"(?:kimlik|tckn|t\.c\.|steuer|steueridentifikations|ausweis|pass|pasaport|passport|dni|nie|nif|ssn|social[ ]security|insurance|identity|identidad|tax|vergi|sozialversicherung|seguridad[ ]social|cédula|id[ ]card)"
 _LABELLED = regex.compile(_LABEL, regex.I)
-_ID = regex.compile(
+_ID = re.compile(
     r"(?<![\w#/@.+-])(?:"
     r"[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]"  # insurance
     r"|\d{3}-\d{2}-\d{4}"  # social security

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
+from cairn.session import checkpointed
 
 RRF, CHANNEL = 60, 2
+#: A query's rarest groups are scored first until they make up so many lines; a bound from more lines is tighter, never another result.
+FIRST_LINES = 64
 
 
 def query_words(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -34,47 +37,119 @@ def stem_groups(queries: DataFrame) -> DataFrame:
     return asked.select("query_id", F.explode(rooted).alias("g")).select("query_id", "g.word", "g.root")
 
 
-def scored(queries: DataFrame, post: DataFrame, keys: DataFrame, lengths: DataFrame, floor: float = 0.5) -> DataFrame:
+def word_groups(queries: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query_id, g), (g, term)): the groups of each query, its words of one root with all vocabulary words of their stem or kin.
+
+    Queries of one wording share their groups: ``g`` is the hash of a group's terms, so a group's lines are read once.
+    """
+    terms = query_words(queries, vocabulary).join(stem_groups(queries), ["query_id", "word"]).select("query_id", "root", "term").distinct()
+    listed = terms.groupBy("query_id", "root").agg(F.sort_array(F.collect_list("term")).alias("terms")).withColumn("g", F.xxhash64("terms"))
+    grouped = checkpointed(listed.select("query_id", "g", "terms"))
+    return grouped.select("query_id", "g").distinct(), grouped.select("g", F.explode("terms").alias("term")).distinct()
+
+
+def scored(
+    queries: DataFrame, post: DataFrame, keys: DataFrame, lengths: DataFrame, floor: float = 0.5, most: int | None = None, bonus: DataFrame | None = None
+) -> DataFrame:
     """AG-03: (query_id, sid, source, score): summed information of the query words a line holds, over its length.
 
     ``post`` is (word, sid, source), ``keys`` the part of it where the word is a field name (TXT-16; repeats are allowed),
     ``lengths`` (sid, n_words).  Query words of which one begins another count once, over all lines of either, and
     ``CHANNEL`` times where the line holds one of them as its field name.  Lines under ``floor`` of the query's best
-    score fall away (RK-03).  The postings are read once for frequencies and once for matches.
+    score fall away (RK-03); with ``most`` also lines that cannot be among so many even with the greatest ``bonus`` (query_id, bonus)
+    that may be added later.
+
+    Frequent words are not looked up for every line.  The lines of each query's rarest groups are scored first; what their
+    best guarantee is a bound that every result must reach.  The groups of least weight that together stay under it cannot make
+    a result alone, so only lines of the other groups are summed, and of those only the few that could still reach the bound are
+    scored in full.  No line that reaches the bound is left out.
     """
-    terms = query_words(queries, post).join(stem_groups(queries), ["query_id", "word"]).select("query_id", "root", "term").distinct()
-    places = post.select("word", "sid", "source", F.lit(1).alias("times")).unionByName(keys.select("word", "sid", "source", F.lit(CHANNEL).alias("times")))
-    hits = terms.join(places, terms["term"] == places["word"]).groupBy("query_id", "root", "sid", "source").agg(F.max("times").alias("times"))
-    held = hits.groupBy("query_id", "root").agg(F.count_distinct("sid").alias("held"))
+    of_query, terms = word_groups(queries, post)
+    # (g, sid, source, times): the lines of each different group
+    known = terms.select("term").distinct()
+    plain = post.join(known, post["word"] == known["term"], "left_semi").select("word", "sid", "source", F.lit(1).alias("times"))
+    named = keys.join(known, keys["word"] == known["term"], "left_semi").select("word", "sid", "source", F.lit(CHANNEL).alias("times"))
+    places = plain.unionByName(named)
+    hits = checkpointed(terms.join(places, terms["term"] == places["word"]).groupBy("g", "sid", "source").agg(F.max("times").alias("times")))
+    held = hits.groupBy("g").agg(F.count(F.lit(1)).alias("held"), F.max("times").alias("most"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean"))
-    weight = held.join(F.broadcast(totals), F.lit(True)).select("query_id", "root", F.log(1 + F.col("n") / F.col("held")).alias("weight"), "mean")
-    summed = hits.join(weight, ["query_id", "root"]).groupBy("query_id", "sid", "source").agg(F.sum(F.col("weight") * F.col("times")).alias("weight"), F.first("mean").alias("mean"))
-    sized = summed.join(lengths, "sid")
+    weight = checkpointed(of_query.join(held, "g").join(F.broadcast(totals), F.lit(True)).select(
+        "query_id", "g", "held", "most", F.log(1 + F.col("n") / F.col("held")).alias("weight"), "mean"))
+    # a line's groups in its own row
+    lines = checkpointed(hits.groupBy("sid", "source").agg(F.collect_list(F.struct("g", "times")).alias("has")).join(lengths, "sid"))
+    asks = weight.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "weight"))).alias("by"), F.first("mean").alias("mean"))
     norm = 0.8 + 0.2 * F.greatest(F.col("n_words"), F.lit(1)) / F.col("mean")
-    ranked = sized.select("query_id", "sid", "source", F.round(F.col("weight") / norm, 6).alias("score"))
+    whole = F.aggregate("has", F.lit(0.0), lambda sum_, h: sum_ + h["times"] * F.coalesce(F.element_at("by", h["g"]), F.lit(0.0)))
+
+    def summed(chosen: DataFrame) -> DataFrame:
+        """(query_id, sid, part): what the chosen (query_id, g, weight) alone give each of their lines."""
+        return chosen.join(hits.select("g", "sid", "times"), "g").groupBy("query_id", "sid").agg(F.sum(F.col("weight") * F.col("times")).alias("part"))
+
+    rarest = Window.partitionBy("query_id").orderBy("held", "g")
+    first = weight.withColumn("before", F.sum("held").over(rarest) - F.col("held")).filter(F.col("before") < FIRST_LINES).select("query_id", "g", "weight")
+    tried = summed(first).join(lines, "sid").join(asks, "query_id").select("query_id", (whole / norm).alias("score"))
+    bound = F.max("score") * floor
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+        tried = tried.withColumn("place", place).filter(F.col("place") <= most)
+        if bonus is not None:
+            tried = tried.join(bonus.groupBy("query_id").agg(F.max("bonus").alias("most_bonus")), "query_id", "left")
+        behind = F.coalesce("most_bonus", F.lit(0.0)) if bonus is not None else F.lit(0.0)
+        bound = F.greatest(bound, F.max(F.when(F.col("place") == most, F.col("score") - behind)))
+    bounds = tried.groupBy("query_id").agg((bound - 0.001).alias("bound"))
+    lightest = Window.partitionBy("query_id").orderBy(F.col("weight") * F.col("most"), "g").rowsBetween(Window.unboundedPreceding, 0)
+    reach = checkpointed(weight.withColumn("upto", F.sum(F.col("weight") * F.col("most")).over(lightest)).join(bounds, "query_id").withColumn(
+        "needed", F.col("upto") / (0.8 + 0.2 / F.col("mean")) >= F.col("bound")))
+    rest = reach.groupBy("query_id").agg(F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))), F.lit(0.0)).alias("rest"), F.first("bound").alias("bound"))
+    able = summed(reach.filter("needed").select("query_id", "g", "weight")).join(lines, "sid").join(asks.join(rest, "query_id"), "query_id").filter(
+        (F.col("part") + F.col("rest")) / norm >= F.col("bound"))
+    score = F.when(F.col("rest") > 0, whole).otherwise(F.col("part")) / norm
+    ranked = checkpointed(able.select("query_id", "sid", "source", F.round(score, 6).alias("score")))
     best = ranked.groupBy("query_id").agg(F.max("score").alias("best"))
-    return ranked.join(F.broadcast(best), "query_id").filter(F.col("score") >= floor * F.col("best")).drop("best")
+    return ranked.join(best, "query_id").filter(F.col("score") >= floor * F.col("best")).drop("best")
 
 
 def top(ranked: DataFrame, most: int = 6, tie: Column | None = None) -> DataFrame:
-    """RK-02: the best rows of each query by score, then the tie column, then sid; pruned before the shuffle."""
+    """RK-02: the best rows of each query by score, then the tie column (the longer line first), then sid; pruned before the shuffle."""
     order = [F.col("score").desc(), *([tie] if tie is not None else []), F.col("sid")]
     by = Window.partitionBy("query_id").orderBy(*order)
     return ranked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most)
 
 
-def name_boost(ranked: DataFrame, queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """AG-04: ln(S/s) more for lines of each source whose name shares a query word with s of S sources."""
+def name_bonus(queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """AG-04: (query_id, source, bonus): ln(S/s) for each query word that s of S source names hold."""
     names = sources.select("source").distinct()
     word = names.select("source", F.explode(F.array_distinct(tx.words(tx.source_name(F.col("source"))))).alias("word"))
     count = names.agg(F.count(F.lit(1)).alias("all"))
     shared = word.groupBy("word").agg(F.count(F.lit(1)).alias("with")).join(F.broadcast(count), F.lit(True)).filter("`with` < `all`")
     bonus = shared.select("word", F.log(F.col("all") / F.col("with")).alias("bonus"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.words(F.col("query")))).alias("word"))
-    by = asked.join(word, "word").join(bonus, "word").groupBy("query_id", "source").agg(F.sum("bonus").alias("bonus"))
+    return asked.join(word.join(bonus, "word"), "word").groupBy("query_id", "source").agg(F.sum("bonus").alias("bonus"))
+
+
+def name_boost(ranked: DataFrame, queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """AG-04: the bonus of each line's source name on its score."""
+    by = name_bonus(queries, sources)
     return ranked.join(by, ["query_id", "source"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)).drop("bonus")
 
 
+def ranking(rows: DataFrame, queries: DataFrame, floor: float = 0.5, most: int | None = None) -> DataFrame:
+    """RK-02, AG-02 .. AG-04: (query_id, sid, source, score, chars) of the lines over the floor, with the bonus of their sources' names.
+
+    ``rows``: (sid, source, sentence); the tokens are made once and written.
+    """
+    from cairn.operators.store import key_words
+
+    toks = rows.select("sid", "source", "sentence", tx.tokens(F.col("sentence")).alias("toks"))
+    known = checkpointed(toks.withColumn("words", tx.content(F.col("toks"))))
+    post = known.select("sid", "source", F.explode(F.array_distinct("words")).alias("word"))
+    lengths = known.select("sid", F.size("words").alias("n_words"), F.length("sentence").alias("chars"))
+    bonus = checkpointed(name_bonus(queries, known))
+    plain = scored(queries, post, key_words(known), lengths.select("sid", "n_words"), floor, most, bonus)
+    named = plain.join(bonus, ["query_id", "source"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)).drop("bonus")
+    return named.join(lengths.select("sid", "chars"), "sid")
+
+
 def where(rows: DataFrame, term: str) -> DataFrame:
     """JN-04: (source, lines): lines that hold every word of a term, up to inflection; a term without words has none.
 
@@ -172,11 +247,7 @@ def find(rows: DataFrame, queries: DataFrame, most: int = 6, floor: float = 0.5,
     ``rows``: (sid, source, sentence).  ``rerank`` (UD-02) takes a query's texts and returns their order; one that is no
     permutation is ignored.
     """
-    from cairn.operators.store import key_words, postings
-
-    post = postings(rows)
-    lengths = rows.select("sid", F.size(tx.words(F.col("sentence"))).alias("n_words"))
-    ranked = top(name_boost(scored(queries, post, key_words(rows), lengths, floor), queries, rows.select("source")), most)
+    ranked = top(ranking(rows, queries, floor, most), most, F.col("chars").desc())
     out = ranked.join(rows.select("sid", "sentence"), "sid").select("query_id", "rank", "sid", "source", "sentence", "score")
     if rerank is None:
         return out

@@ -77,14 +77,8 @@ def fields(rows: DataFrame, least_sources: int = 2) -> DataFrame:
     return heads.groupBy("head").agg(F.count_distinct("source").alias("sources"), F.count_distinct("value").alias("values")).filter(F.col("sources") >= least_sources)
 
 
-def upper_median(df: DataFrame, value: Column) -> DataFrame:
-    """TXT-16: the element n//2 of the sorted values, without sorting them in one task: by counts of each value."""
-    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    return running.join(F.broadcast(total), F.lit(True)).filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
-
-
+#: TXT-16: the element n//2 of the sorted values, as an aggregate over the counts of each value.
+UPPER_MEDIAN = "percentile_disc(0.5) WITHIN GROUP (ORDER BY {} DESC)"
 WORD, BLANK = r"\p{L}\p{N}_\"'.", r"[\s\p{Z}]"  # letters of a field name's words, white space
 
 
@@ -99,10 +93,10 @@ def key_words(rows: DataFrame, sid: str = "sid") -> DataFrame:
     They are the last three words before a colon, or before the first digit of a short segment whose first number
     stands in the leading half of its tokens.  Short is at most the upper median of all lines' characters and tokens.
     """
-    bounds = upper_median(rows, F.length("sentence")).select(F.col("median").alias("chars")).crossJoin(
-        upper_median(rows, F.size(tx.tokens(F.col("sentence")))).select(F.col("median").alias("toks")))
-    near = rows.filter(F.col("sentence").rlike(r"[:\p{Nd}]")).select(sid, "source", "sentence", tx.tokens(F.col("sentence")).alias("t"))
-    near = near.select(sid, "source", "sentence", tx.content(F.col("t")).alias("held"))
+    made = rows if "toks" in rows.columns else rows.select(sid, "source", "sentence", tx.tokens(F.col("sentence")).alias("toks"))
+    sizes = made.select(F.length("sentence").alias("c"), F.size("toks").alias("t"))
+    bounds = sizes.selectExpr(f"{UPPER_MEDIAN.format('c')} AS chars", f"{UPPER_MEDIAN.format('t')} AS toks")
+    near = made.filter(F.col("sentence").rlike(r"[:\p{Nd}]")).select(sid, "source", "sentence", tx.content(F.col("toks")).alias("held"))
     heads = F.regexp_extract_all("sentence", F.lit(rf"(?<![{WORD}])((?:[{WORD}]++[ \t]++){{0,2}}[{WORD}]++){BLANK}*+:"), 1)
     segments = F.filter(F.transform(F.split("sentence", "[·—;|]"), lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")), lambda x: x.rlike(r"\p{Nd}"))
     parts = near.select(sid, "source", "held", F.explode(F.concat(

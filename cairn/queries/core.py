@@ -220,12 +220,8 @@ fl AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best
 
 @query("find_topk", _FIND + "SELECT query_id, sid, source, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sid) AS n FROM fl) WHERE n <= 6")
 def find_topk(s, d):
-    rows = checkpointed(lines(s, d).select("sid", "source", "sentence", tx.words(F.col("sentence")).alias("words")))
-    post = checkpointed(rows.select("sid", "source", F.explode(F.array_distinct("words")).alias("word")))
-    lengths = rows.select("sid", F.size("words").alias("n_words"))
-    q = asked(s, d)
-    named = retrieve.name_boost(retrieve.scored(q, post, store.key_words(rows), lengths), q, rows)
-    return retrieve.top(named).select("query_id", "sid", "source", "score", F.col("rank").cast("long").alias("rank"))
+    named = retrieve.ranking(lines(s, d), asked(s, d), most=6)
+    return retrieve.top(named, 6, F.col("chars").desc()).select("query_id", "sid", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("named_source_boost", f"""WITH {ASKED},
