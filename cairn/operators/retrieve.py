@@ -213,42 +213,40 @@ def interleave(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(Window.orderBy("turn", "key"))).filter(F.col("place") <= most)
 
 
-def seats(candidates: DataFrame, most: int = 6) -> DataFrame:
-    """RK-04: greedy seats of each query with caps for a region and a source; what overflows refills.
-
-    ``candidates``: (query_id, rank, sid, source, sentence), already cut to a few times ``most`` by a native top-N,
-    so a group is bounded by that number.
-    """
-    cap = max(1, min(2, most - 1))
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        taken, over, by_source = [], [], {}
-        many = part["source"].nunique() > 1
-        for r in part.itertuples(index=False):
-            words = set(tx.fold_text(r.sentence).split())
-            near = sum(1 for _, w in taken if w & words and (2 * len(w & words) > len(w | words) or 2 * len(w & words) > min(len(w), len(words))))
-            full = many and by_source.get(r.source, 0) >= cap
-            if near >= (1 if many else cap) or full:
-                over.append((r.sid, words))
-                continue
-            by_source[r.source] = by_source.get(r.source, 0) + 1
-            taken.append((r.sid, words))
-        order = [s for s, _ in (taken + over)[:most]]
-        return pd.DataFrame({"query_id": part["query_id"].iloc[0], "seat": range(1, len(order) + 1), "sid": order})
-
-    kinds = candidates.schema
-    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id'].dataType.simpleString()}, seat int, sid {kinds['sid'].dataType.simpleString()}")
-
-
-def find(rows: DataFrame, queries: DataFrame, most: int = 6, floor: float = 0.5, rerank: Callable | None = None) -> DataFrame:
+def find(
+    rows: DataFrame, queries: DataFrame, most: int = 6, floor: float = 0.5, rerank: Callable | None = None, scope: DataFrame | None = None,
+    dense: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """RK-01: (query_id, rank, sid, source, sentence, score) of the best lines of each query.
 
-    ``rows``: (sid, source, sentence).  ``rerank`` (UD-02) takes a query's texts and returns their order; one that is no
-    permutation is ignored.
+    ``rows``: (sid, source, sentence).  Scores with the bonus of named sources, cut to ``scope`` (query_id, source) where one is given
+    (RK-08: a scope without a hit gives its lines by shared words), seats with caps for regions and sources, later statements before earlier
+    ones, named sources first, one line for a measurement asked for; with ``dense`` (source vectors, query vectors) the ranking of meaning is fused in.
+    ``rerank`` (UD-02) takes a query's texts and returns their order; one that is no permutation is ignored.
     """
-    ranked = top(ranking(rows, queries, floor, most), most, F.col("chars").desc())
-    out = ranked.join(rows.select("sid", "sentence"), "sid").select("query_id", "rank", "sid", "source", "sentence", "score")
+    from cairn.operators import answers, seats, store
+
+    ranked = ranking(rows, queries, floor)
+    if scope is not None:
+        inside = scope.select("query_id", "source").distinct()
+        ranked = ranked.join(inside, ["query_id", "source"], "left_semi")
+    full = checkpointed(ranked.join(rows.select("sid", "sentence"), "sid"))
+    seated = seats.seats(full, most, order=F.col("chars").desc())
+    if scope is not None:
+        bare = inside.join(full.select("query_id").distinct(), "query_id", "left_anti").join(rows, "source")
+        plain = answers.scoped(bare, queries, most).join(rows, "sid")
+        by = Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "sid")
+        seated = seated.unionByName(plain.withColumn("seat", F.row_number().over(by)).select(*seated.columns))
+    seated = checkpointed(seats.named_places(seats.without_superseded(seated), name_bonus(queries, rows)))
+    made = rows.select("sid", "source", "sentence", tx.tokens(F.col("sentence")).alias("toks"))
+    bounds = made.select(F.length("sentence").alias("c"), F.size("toks").alias("t")).selectExpr(f"{store.UPPER_MEDIAN.format('c')} AS chars", f"{store.UPPER_MEDIAN.format('t')} AS toks")
+    units = store.learned_quantities(rows, "sentence", longest=None)
+    extra = seats.measurement_seat(top(full, 300, F.col("chars").desc()), seated, queries, store.key_words(made), units, bounds)
+    out = seated.unionByName(extra.withColumn("seat", F.lit(most + 1)).select(*seated.columns))
+    if dense is not None:
+        out = fused_seats(out, full, dense, most)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("seat"))).join(
+        full.select("query_id", "sid", "score"), ["query_id", "sid"], "left").select("query_id", "rank", "sid", "source", "sentence", "score")
     if rerank is None:
         return out
 
@@ -265,6 +263,19 @@ def find(rows: DataFrame, queries: DataFrame, most: int = 6, floor: float = 0.5,
     return out.groupBy("query_id").applyInPandas(again, out.schema)
 
 
+def fused_seats(seated: DataFrame, full: DataFrame, dense: tuple[DataFrame, DataFrame], most: int, sources: int = 5, lines: int = 24) -> DataFrame:
+    """RK-11: seats fused by rank with the best lexical lines of the sources nearest in meaning; ``dense``: ((source, embedding), (query_id, query_vector))."""
+    vectors, asked = dense
+    close = near(vectors.withColumnRenamed("source", "vec_id"), asked, sources).select("query_id", F.col("vec_id").alias("source"), F.col("rank").alias("near"))
+    inside = full.join(close, ["query_id", "source"])
+    by = Window.partitionBy("query_id", "source").orderBy(F.col("score").desc(), "sid")
+    some = inside.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= max(most, -(-lines // sources)))
+    second = some.select("query_id", F.col("sid").alias("key"), F.row_number().over(Window.partitionBy("query_id").orderBy("near", "nth")).alias("rank"))
+    order = rrf_by(seated.select("query_id", F.col("sid").alias("key"), F.col("seat").alias("rank")).unionByName(second)).filter(F.col("place") <= most)
+    told = seated.select("query_id", "sid", "source", "sentence").unionByName(some.select("query_id", "sid", "source", "sentence")).distinct()
+    return order.select("query_id", F.col("key").alias("sid"), F.col("place").alias("seat")).join(told, ["query_id", "sid"]).select("query_id", "seat", "sid", "source", "sentence")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """RK-14: cosine of two vectors; null where a length is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)

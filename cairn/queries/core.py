@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
-from cairn.operators import answers, check, entities, nested, records, retrieve, schema_drift, store
+from cairn.operators import answers, check, entities, nested, records, retrieve, schema_drift, seats, store
 from cairn.operators.nested import label_trees, run_tables
 from cairn.plans import algebra
 from cairn.queries import sql
@@ -203,22 +203,39 @@ def inverted_index_df(s, d):
     return df.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))), F.lit(True)).select("word", "df", F.round(F.log(1 + F.col("n") / F.col("df")), 6).alias("idf"))
 
 
-_FIND = "WITH" + sql.STORE + f""", {ASKED},
+_BLANK, _WORD = r"[\s\p{Z}]", r"\p{L}\p{N}_\"''."
+_NAME = r"regexp_replace(CASE WHEN source LIKE '%:%' THEN regexp_replace(source, '^[^:]*:', '') ELSE regexp_replace(source, '^#+', '') END, '([^.])\.[^.]*$', '\1')"
+#: Field names, groups of query words, the bonus of source names: the whole of AG-02 .. AG-04 and RK-02, RK-03.
+_FIND = "WITH" + sql.STORE + rf""", {ASKED},
+kb AS (SELECT list_sort(list(length(sentence)))[count(*) // 2 + 1] AS chars, list_sort(list(len(t)))[count(*) // 2 + 1] AS toks FROM t),
+kn AS (SELECT sid, source, sentence, {sql.content('t')} AS held FROM t WHERE regexp_matches(sentence, '[:\p{{Nd}}]')),
+kh AS (SELECT sid, source, held, unnest(regexp_extract_all(replace(sentence, ':', ': '), '(?:^|[^{_WORD}])((?:[{_WORD}]+[ \t]+){{0,2}}[{_WORD}]+){_BLANK}*:', 1)) AS name, NULL AS segment FROM kn),
+ks AS (SELECT sid, source, held, unnest(list_filter(list_transform(string_split_regex(sentence, '[·—;|]'), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: regexp_matches(x, '\p{{Nd}}'))) AS segment FROM kn),
+ka AS (SELECT * FROM kh UNION ALL SELECT sid, source, held, regexp_extract(segment, '^([^\p{{Nd}}:]+?){_BLANK}*\p{{Nd}}', 1), segment FROM ks),
+kt AS (SELECT sid, source, held, segment, {sql.tokens('name')} AS nt, CASE WHEN segment IS NOT NULL THEN {sql.tokens('segment')} END AS st FROM ka WHERE name <> ''),
+kp AS (SELECT *, list_position(list_transform(st, lambda x: {sql.number('x')}), true) - 1 AS first_number FROM kt),
+kf AS (SELECT sid, source, held, {sql.content('nt')} AS w FROM kp, kb WHERE segment IS NULL OR (length(segment) <= kb.chars AND len(st) <= kb.toks AND first_number > 0 AND 2 * first_number <= len(st))),
+keys AS (SELECT DISTINCT sid, source, unnest(list_intersect(list_filter(list_slice(w, greatest(len(w) - 2, 1), len(w)), lambda x: NOT {sql.number('x')}), held)) AS word FROM kf),
 qt AS (SELECT query_id, {sql.tokens('query')} AS t FROM q),
 qw AS (SELECT query_id, unnest(list_distinct({sql.content('t')})) AS word FROM qt),
+rt AS (SELECT a.query_id, a.word, min(b.word) AS root FROM qw a JOIN qw b ON a.query_id = b.query_id AND starts_with(a.word, b.word) GROUP BY 1, 2),
 voc AS (SELECT DISTINCT word FROM post),
-terms AS (SELECT query_id, qw.word, voc.word AS term FROM qw JOIN voc ON left(qw.word, 3) = left(voc.word, 3) AND {sql.stem('qw.word', 'voc.word', 3)}),
-hits AS (SELECT DISTINCT query_id, terms.word, sid, source FROM terms JOIN post ON terms.term = post.word),
-held AS (SELECT query_id, word, count(DISTINCT sid) AS held FROM hits GROUP BY 1, 2),
-len AS (SELECT sid, len(words) AS n FROM w), tot AS (SELECT count(*) AS n, avg(n) AS mean FROM len),
-wt AS (SELECT query_id, word, ln(1 + tot.n / held) AS weight FROM held, tot),
-sc AS (SELECT query_id, sid, source, sum(weight) AS weight FROM hits JOIN wt USING (query_id, word) GROUP BY 1, 2, 3),
-rk AS (SELECT query_id, sid, source, round(weight / (0.8 + 0.2 * greatest(len.n, 1) / tot.mean), 6) AS score FROM sc JOIN len USING (sid), tot),
-fl AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM rk) WHERE score >= 0.5 * best)
+terms AS (SELECT DISTINCT query_id, root, voc.word AS term FROM rt JOIN voc ON left(rt.word, 3) = left(voc.word, 3) AND {sql.stem('rt.word', 'voc.word', 3)}),
+hits AS (SELECT query_id, root, sid, source, max(times) AS times FROM terms JOIN (SELECT word, sid, source, 1 AS times FROM post UNION ALL SELECT word, sid, source, 2 FROM keys) ON term = word GROUP BY 1, 2, 3, 4),
+held AS (SELECT query_id, root, count(DISTINCT sid) AS held FROM hits GROUP BY 1, 2),
+len AS (SELECT sid, len(words) AS n, length(sentence) AS chars FROM w), tot AS (SELECT count(*) AS n, avg(n) AS mean FROM len),
+wt AS (SELECT query_id, root, ln(1 + tot.n / held) AS weight FROM held, tot),
+sc AS (SELECT query_id, sid, source, sum(weight * times) AS weight FROM hits JOIN wt USING (query_id, root) GROUP BY 1, 2, 3),
+rk AS (SELECT query_id, sid, source, chars, round(weight / (0.8 + 0.2 * greatest(len.n, 1) / tot.mean), 6) AS score FROM sc JOIN len USING (sid), tot),
+fl AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM rk) WHERE score >= 0.5 * best),
+sn AS (SELECT DISTINCT source FROM s), st AS (SELECT source, {sql.tokens(_NAME)} AS t FROM sn), sw AS (SELECT source, unnest(list_distinct({sql.content('t')})) AS word FROM st),
+sb AS (SELECT word, ln((SELECT count(*) FROM sn) / count(*)) AS bonus FROM sw GROUP BY word HAVING count(*) < (SELECT count(*) FROM sn)),
+bn AS (SELECT query_id, source, sum(bonus) AS bonus FROM qw JOIN sw USING (word) JOIN sb USING (word) GROUP BY 1, 2),
+nm AS (SELECT query_id, sid, source, chars, round(score + coalesce(bonus, 0), 6) AS score FROM fl LEFT JOIN bn USING (query_id, source))
 """
 
 
-@query("find_topk", _FIND + "SELECT query_id, sid, source, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sid) AS n FROM fl) WHERE n <= 6")
+@query("find_topk", _FIND + "SELECT query_id, sid, source, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chars DESC, sid) AS n FROM nm) WHERE n <= 6")
 def find_topk(s, d):
     named = retrieve.ranking(lines(s, d), asked(s, d), most=6)
     return retrieve.top(named, 6, F.col("chars").desc()).select("query_id", "sid", "source", "score", F.col("rank").cast("long").alias("rank"))
@@ -308,12 +325,14 @@ def source_profiles(s, d):
 
 @query("seats_topk")
 def seats_topk(s, d):
-    rows = checkpointed(lines(s, d))
-    lengths = rows.select("sid", F.size(tx.words(F.col("sentence"))).alias("n_words"))
-    q = asked(s, d)
-    named = retrieve.name_boost(retrieve.scored(q, store.postings(rows), store.key_words(rows), lengths), q, rows)
-    ranked = retrieve.top(named, 24).join(rows.select("sid", "sentence"), "sid")
-    return retrieve.seats(ranked)
+    rows = lines(s, d)
+    ranked = retrieve.ranking(rows, asked(s, d)).join(rows.select("sid", "sentence"), "sid")
+    return seats.seats(ranked, order=F.col("chars").desc()).select("query_id", "seat", "sid")
+
+
+@query("find_full")
+def find_full(s, d):
+    return retrieve.find(checkpointed(lines(s, d)), asked(s, d)).select("query_id", "rank", "sid", "source", "score")
 
 
 # ---- checks -----------------------------------------------------------------------------------------------------------
@@ -540,17 +559,18 @@ def unique_lines(s: SparkSession, d: str) -> DataFrame:
 
 _GRAMS = "WITH" + sql.sentences() + f""",
 dd AS (SELECT doc_id, pos, source, sentence, row_number() OVER (PARTITION BY {sql.fold('sentence')}, source ORDER BY doc_id, pos) AS n FROM s),
-tk AS (SELECT doc_id || ':' || pos AS sid, source, {sql.tokens('sentence')} AS t FROM dd WHERE n = 1), li AS (SELECT sid, source, list_slice({sql.content('t')}, 1, 400) AS toks FROM tk),
-sz AS (SELECT toks, unnest([1, 2, 3, 4]) AS size FROM li), st AS (SELECT toks, size, unnest(range(1, len(toks) - size + 2)) AS i FROM sz WHERE len(toks) >= size),
+tk AS (SELECT doc_id || ':' || pos AS sid, source, {sql.tokens('sentence')} AS t FROM dd WHERE n = 1), li AS (SELECT sid, source, {sql.content('t')} AS toks FROM tk),
+sz AS (SELECT toks, unnest([1, 2, 3, 4, 5, 6]) AS size FROM li), st AS (SELECT toks, size, unnest(range(1, len(toks) - size + 2)) AS i FROM sz WHERE len(toks) >= size),
 c AS (SELECT array_to_string(list_slice(toks, i, i + size - 1), ' ') AS gram, size, count(*) AS n FROM st GROUP BY 1, 2 HAVING count(*) >= 2),
 tot AS (SELECT sum(len(toks)) AS total FROM li), cw AS (SELECT *, string_split(gram, ' ') AS w FROM c),
-sp AS (SELECT gram, size, n, w, unnest(range(1, size)) AS cut FROM cw WHERE size BETWEEN 2 AND 3 AND n >= 3),
+sp AS (SELECT gram, size, n, w, unnest(range(1, size)) AS cut FROM cw WHERE size BETWEEN 2 AND 5 AND n >= 3),
 sd AS (SELECT gram, size, n, array_to_string(list_slice(w, 1, cut), ' ') AS l, array_to_string(list_slice(w, cut + 1, size), ' ') AS r FROM sp),
 co AS (SELECT sd.gram, sd.size, sd.n, round(min(ln(sd.n * CAST(tot.total AS DOUBLE) / (a.n * b.n))), 6) AS cohesion, min(greatest(sd.n / a.n, sd.n / b.n)) AS share FROM sd JOIN c a ON a.gram = sd.l JOIN c b ON b.gram = sd.r, tot GROUP BY 1, 2, 3),
 lg AS (SELECT array_to_string(list_slice(w, 1, size - 1), ' ') AS gram, n AS beside FROM cw WHERE size > 2 UNION ALL SELECT array_to_string(list_slice(w, 2, size), ' '), n FROM cw WHERE size > 2),
 cr AS (SELECT gram, max(beside) AS beside FROM lg GROUP BY 1),
 fr AS (SELECT co.* FROM co LEFT JOIN cr USING (gram) WHERE cohesion >= 1.0 AND share > 0.5 AND 2 * coalesce(beside, 0) <= n),
-ir AS (SELECT DISTINCT unnest([array_to_string(list_slice(string_split(gram, ' '), 1, 2), ' '), array_to_string(list_slice(string_split(gram, ' '), 2, 3), ' ')]) AS gram FROM fr WHERE size = 3),
+ik AS (SELECT string_split(gram, ' ') AS w, size, unnest(range(2, size)) AS k FROM fr WHERE size > 2), ii AS (SELECT w, k, unnest(range(1, size - k + 2)) AS i FROM ik),
+ir AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM ii),
 ph AS (SELECT gram, size, n, cohesion FROM fr WHERE gram NOT IN (SELECT gram FROM ir))"""
 
 
@@ -566,7 +586,7 @@ def entity_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("entity_edges_g2", _GRAMS + """,
-mt AS (SELECT DISTINCT sid, array_to_string(list_slice(toks, i, i + size - 1), ' ') AS entity FROM (SELECT sid, toks, size, unnest(range(1, len(toks) - size + 2)) AS i FROM (SELECT sid, toks, unnest([2, 3]) AS size FROM li) WHERE len(toks) >= size)),
+mt AS (SELECT DISTINCT sid, array_to_string(list_slice(toks, i, i + size - 1), ' ') AS entity FROM (SELECT sid, toks, size, unnest(range(1, len(toks) - size + 2)) AS i FROM (SELECT sid, toks, unnest([2, 3, 4, 5]) AS size FROM li) WHERE len(toks) >= size)),
 me AS (SELECT sid, entity FROM mt WHERE entity IN (SELECT gram FROM ph)), ct AS (SELECT entity, count(*) AS n FROM me GROUP BY 1),
 pr AS (SELECT a.entity AS a, b.entity AS b, count(*) AS k11 FROM me a JOIN me b ON a.sid = b.sid AND a.entity < b.entity GROUP BY 1, 2),
 kk AS (SELECT a, b, CAST(k11 AS DOUBLE) AS k11, CAST(x.n - k11 AS DOUBLE) AS k12, CAST(y.n - k11 AS DOUBLE) AS k21, CAST((SELECT count(*) FROM li) AS DOUBLE) AS total FROM pr JOIN ct x ON x.entity = a JOIN ct y ON y.entity = b),

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
-from cairn.operators import entities, nested, records, retrieve, schema_drift, store
+from cairn.operators import entities, nested, records, retrieve, schema_drift, seats, store
 from cairn.plans import algebra
 from cairn.sources import readers
 from cairn.streaming import learn
@@ -85,10 +85,44 @@ def test_fusion_and_interleaving(spark):
     assert [x.key for x in retrieve.interleave(one, two, 3).orderBy("place").collect()] == ["a", "b", "c"]
 
 
-def test_seats_hold_caps(spark):
-    rows = [(1, i, f"s{i}", "A" if i < 4 else "B", f"word{i} other{i} third{i}") for i in range(6)]
-    got = retrieve.seats(spark.createDataFrame(rows, "query_id int, rank int, sid string, source string, sentence string"), 4).orderBy("seat").collect()
-    assert [r.sid for r in got] == ["s0", "s1", "s4", "s5"]
+def brute_seats(lines, most):
+    """The whole ranking (source, words) in one walk."""
+    cap, many = max(1, min(2, most - 1)), len({x[1] for x in lines}) > 1
+    taken, over = [], []
+    for sid, source, words in lines:
+        close = sum(seats.near(set(w), set(words)) for _, _, w in taken)
+        full = close >= (1 if many else cap) or many and sum(x[1] == source for x in taken) >= cap
+        (over if full or len(taken) == most else taken).append((sid, source, words))
+    return [x[0] for x in (taken + over)[:most]]
+
+
+def test_seats_see_the_whole_ranking(spark):
+    rows = [(1, 99.0 - i, f"s{i}", "A" if i < 4 else "B", f"word{i} other{i} third{i}") for i in range(6)]
+    # one source holds the first 300 lines, and many lines repeat
+    rows += [(2, 900.0 - i, f"t{i:03d}", "A" if i < 300 else f"C{i}", f"word{i % 40} other{i % 40} third{i % 40}") for i in range(310)]
+    rows += [(3, 50.0 - i, f"u{i}", "A", "same words here always") for i in range(9)]
+    df = spark.createDataFrame(rows, "query_id int, score double, sid string, source string, sentence string")
+    got = {}
+    for r in seats.seats(df, 4, chunk=8).orderBy("seat").collect():
+        got.setdefault(r.query_id, []).append(r.sid)
+    want = {q: brute_seats([(r[2], r[3], r[4].split()) for r in rows if r[0] == q], 4) for q in (1, 2, 3)}
+    assert got == want and got[1] == ["s0", "s1", "s4", "s5"] and got[2] == ["t000", "t001", "t300", "t301"]
+    assert seats.seats(df.limit(0), 4).count() == 0
+
+
+def test_later_statement_speaks(spark):
+    rows = [(1, 1, "a", "chat 2023/05/25 (Thu)", "my best time of 27 minutes"), (1, 2, "b", "chat 2023/06/01 (Thu)", "the best time of 25 minutes now"),
+            (1, 3, "c", "manual", "best time of 30 minutes"), (2, 1, "d", "log 2024/01/01", "weight of 3 kg"), (2, 2, "e", "log 2024/01/01", "weight of 4 kg")]
+    df = spark.createDataFrame(rows, "query_id int, seat int, sid string, source string, sentence string")
+    assert sorted(r.sid for r in seats.without_superseded(df).collect()) == ["b", "c", "d", "e"]
+
+
+def test_measurement_gets_a_seat(spark):
+    texts = [("m", "Screen 15 mm"), ("m", "width 12 inch"), ("m", "width 9 inch"), ("m", "depth 7 mm"), ("m", "the screen of this device is bright and shows many menus of all kinds")] + [("m", f"screen menu number {w} opens here") for w in "abcdefgh"]
+    rows = lines_of(spark, texts)
+    q = spark.createDataFrame([(1, "how many inches has the screen")], "query_id int, query string")
+    got = retrieve.find(rows, q, most=2).collect()
+    assert "Screen 15 mm" in {r.sentence for r in got} and len(got) <= 3
 
 
 def claims(spark, rows):
