@@ -97,9 +97,10 @@ def brute_seats(lines, most):
 
 
 def test_seats_see_the_whole_ranking(spark):
-    rows = [(1, 99.0 - i, f"s{i}", "A" if i < 4 else "B", f"word{i} other{i} third{i}") for i in range(6)]
+    w = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [(1, 99.0 - i, f"s{i}", "A" if i < 4 else "B", f"word{w(i)} other{w(i)} third{w(i)}") for i in range(6)]
     # one source holds the first 300 lines, and many lines repeat
-    rows += [(2, 900.0 - i, f"t{i:03d}", "A" if i < 300 else f"C{i}", f"word{i % 40} other{i % 40} third{i % 40}") for i in range(310)]
+    rows += [(2, 900.0 - i, f"t{i:03d}", "A" if i < 300 else f"C{i}", f"word{w(i % 40)} other{w(i % 40)} third{w(i % 40)}") for i in range(310)]
     rows += [(3, 50.0 - i, f"u{i}", "A", "same words here always") for i in range(9)]
     df = spark.createDataFrame(rows, "query_id int, score double, sid string, source string, sentence string")
     got = {}
