@@ -1,4 +1,4 @@
-"""Answer-side operators: admission tests, joins of names and fields, tallies and layouts (GT-08 .. GT-17, JN-03 .. JN-10, AG-07 .. AG-15, RK-05 .. RK-18, PL-15 .. PL-18)."""
+"""Answer-side operators: admission tests, joins of names and fields, tallies and layouts (GT-08 .. GT-17 but for the gates in ``claims``, JN-03 .. JN-10, AG-07 .. AG-15, RK-05 .. RK-18, PL-15 .. PL-18)."""
 
 from __future__ import annotations
 
@@ -147,6 +147,17 @@ def shown_span(a: Column, b: Column) -> Column:
     return F.concat(d.cast("string"), F.lit(" days ("), (d + 1).cast("string"), F.lit(" including the last day)"))
 
 
+def shown_day(day: Column) -> Column:
+    """TXT-30: a day as 'yyyy/mm/dd'."""
+    return F.date_format(day, "yyyy/MM/dd")
+
+
+def months_between(a: Column, b: Column) -> Column:
+    """TXT-30: whole calendar months from one day's month to the other's, whichever is first."""
+    key = lambda d: 12 * F.year(d) + F.month(d)
+    return F.abs(key(a) - key(b))
+
+
 def telling(lines: DataFrame, most_chars: int = 120_000) -> DataFrame:
     """PL-17: (source, block): the lines of a source in the order of their days, where all are dated and the whole is short enough.
 
@@ -210,14 +221,3 @@ def judged_suspects(records: DataFrame, verdict: Callable[[pd.Series, pd.Series]
     anchor = records.groupBy("subject", "predicate").agg(F.max(rank).alias("a")).select("subject", "predicate", F.col("a.value").alias("anchor"))
     others = records.select("subject", "predicate", "value").distinct().join(anchor, ["subject", "predicate"]).filter("value <> anchor")
     return others.withColumn("rival", F.pandas_udf(verdict, T.BooleanType())("anchor", "value"))
-
-
-def asserts_fact(answers: DataFrame) -> DataFrame:
-    """GT-13: (answer_id, asserted): an answer says something of its proof: some word of it stands in fewer than half of the proof's regions.
-
-    ``answers``: (answer_id, answer, proofs array<string>); the proofs of one answer are a few lines.  Fewer than three proofs count as asserting.
-    """
-    words = F.array_distinct(tx.words(F.coalesce("answer", F.lit(""))))
-    held = F.transform("proofs", lambda p: tx.words(p))
-    rare = F.exists(words, lambda w: (F.size(F.filter(held, lambda h: F.array_contains(h, w))).between(1, F.floor((F.size("proofs") - 1) / 2))) | tx.is_number(w))
-    return answers.select("answer_id", ((F.size("proofs") < 3) | rare).alias("asserted"))

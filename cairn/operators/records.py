@@ -27,7 +27,8 @@ def unpivoted(table: DataFrame, entity: str, columns: list[str] | None = None) -
 
 def cell_text(c: Column) -> Column:
     """SRC-08: a whole float prints as an integer, line breaks become spaces."""
-    return F.when(c.cast("double") == F.floor(c.cast("double")), c.cast("bigint").cast("string")).otherwise(F.trim(F.regexp_replace(c.cast("string"), r"\n", " ")))
+    text = c.cast("string")
+    return F.when(text.rlike(r"^-?\d{1,15}\.0+$"), F.regexp_replace(text, r"\.0+$", "")).otherwise(F.trim(F.regexp_replace(text, r"\s*\n\s*", " ")))
 
 
 def resolved(names: DataFrame, labels: DataFrame) -> DataFrame:

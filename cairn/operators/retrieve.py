@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,15 +134,20 @@ def name_boost(ranked: DataFrame, queries: DataFrame, sources: DataFrame) -> Dat
     return ranked.join(by, ["query_id", "source"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)).drop("bonus")
 
 
+def tokenised(rows: DataFrame) -> DataFrame:
+    """(sid, source, sentence, toks, words), made once and written."""
+    toks = rows.select("sid", "source", "sentence", tx.tokens(F.col("sentence")).alias("toks"))
+    return checkpointed(toks.withColumn("words", tx.content(F.col("toks"))))
+
+
 def ranking(rows: DataFrame, queries: DataFrame, floor: float = 0.5, most: int | None = None) -> DataFrame:
     """RK-02, AG-02 .. AG-04: (query_id, sid, source, score, chars) of the lines over the floor, with the bonus of their sources' names.
 
-    ``rows``: (sid, source, sentence); the tokens are made once and written.
+    ``rows``: (sid, source, sentence), or what ``tokenised`` makes of them.
     """
     from cairn.operators.store import key_words
 
-    toks = rows.select("sid", "source", "sentence", tx.tokens(F.col("sentence")).alias("toks"))
-    known = checkpointed(toks.withColumn("words", tx.content(F.col("toks"))))
+    known = rows if "toks" in rows.columns else tokenised(rows)
     post = known.select("sid", "source", F.explode(F.array_distinct("words")).alias("word"))
     lengths = known.select("sid", F.size("words").alias("n_words"), F.length("sentence").alias("chars"))
     bonus = checkpointed(name_bonus(queries, known))
@@ -226,7 +232,8 @@ def find(
     """
     from cairn.operators import answers, seats, store
 
-    ranked = ranking(rows, queries, floor)
+    known = tokenised(rows)
+    ranked = ranking(known, queries, floor)
     if scope is not None:
         inside = scope.select("query_id", "source").distinct()
         ranked = ranked.join(inside, ["query_id", "source"], "left_semi")
@@ -238,10 +245,12 @@ def find(
         by = Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "sid")
         seated = seated.unionByName(plain.withColumn("seat", F.row_number().over(by)).select(*seated.columns))
     seated = checkpointed(seats.named_places(seats.without_superseded(seated), name_bonus(queries, rows)))
-    made = rows.select("sid", "source", "sentence", tx.tokens(F.col("sentence")).alias("toks"))
-    bounds = made.select(F.length("sentence").alias("c"), F.size("toks").alias("t")).selectExpr(f"{store.UPPER_MEDIAN.format('c')} AS chars", f"{store.UPPER_MEDIAN.format('t')} AS toks")
-    units = store.learned_quantities(rows, "sentence", longest=None)
-    extra = seats.measurement_seat(top(full, 300, F.col("chars").desc()), seated, queries, store.key_words(made), units, bounds)
+    bounds = known.select(F.length("sentence").alias("c"), F.size("toks").alias("t")).selectExpr(f"{store.UPPER_MEDIAN.format('c')} AS chars", f"{store.UPPER_MEDIAN.format('t')} AS toks")
+    units = checkpointed(store.learned_quantities(rows, "sentence", longest=None))
+    # only questions that ask for a quantity look further down, under the floor
+    asking = checkpointed(queries.join(seats.asks_quantity(queries, units).select("query_id"), "query_id", "left_semi"))
+    deep = top(ranking(known, asking, 0.0, seats.SCAN), seats.SCAN, F.col("chars").desc()).join(rows.select("sid", "sentence"), "sid")
+    extra = seats.measurement_seat(deep, seated, asking, store.key_words(known), units, bounds)
     out = seated.unionByName(extra.withColumn("seat", F.lit(most + 1)).select(*seated.columns))
     if dense is not None:
         out = fused_seats(out, full, dense, most)
@@ -283,13 +292,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((size(a) > 0) & (size(b) > 0), dot / (size(a) * size(b)))
 
 
-def near(vectors: DataFrame, queries: DataFrame, most: int = 5, least: float = -1.0) -> DataFrame:
+#: Bytes of query vectors that are sent to the tasks at once.
+BLOCK_BYTES = 32 << 20
+
+
+def near(vectors: DataFrame, queries: DataFrame, most: int = 5, least: float = -1.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """RK-12: (query_id, vec_id, cosine, rank): exact nearest vectors of each query vector.
 
-    Queries are a stated set; they are sent to the vectors in blocks as one array, their number times their width being the bound.
+    Queries go to the vectors in blocks of at most ``block_bytes``, one pass over the vectors a block, so what is broadcast has a fixed
+    bound however many queries there are.  A task multiplies its batch with the block and gives out its ``most`` best of each query.
+    Vectors that are null, of length 0 or of another width than the query have no cosine.
     """
-    listed = queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
-    pairs = vectors.join(F.broadcast(listed), F.lit(True)).select("vec_id", "embedding", F.explode("asked").alias("q"))
-    close = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(cosine(F.col("embedding"), F.col("q.query_vector")), 6).alias("cosine")).filter(F.col("cosine") >= least)
+    spark = vectors.sparkSession
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()]
+    asked = queries.filter("query_vector is not null and size(query_vector) > 0").select("query_id", F.col("query_vector").cast("array<double>").alias("v"), F.size("query_vector").alias("width"))
+    sizes = asked.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a width
+    found = spark.createDataFrame([], f"query_id {kinds[0]}, vec_id {kinds[1]}, cosine double")
+    for width, n in sizes:
+        blocks = -(-n * width * 8 // block_bytes)
+        for b in range(blocks):
+            part = asked.filter((F.col("width") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "v").toPandas()
+            found = found.unionByName(_nearest(vectors, part, width, most, least, kinds))
     by = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
-    return close.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most)
+
+
+def _nearest(vectors: DataFrame, block: pd.DataFrame, width: int, most: int, least: float, kinds: list[str]) -> DataFrame:
+    names = block["query_id"].to_numpy()
+    matrix = np.array(block["v"].tolist(), dtype=float).reshape(len(block), width)
+    sizes = np.linalg.norm(matrix, axis=1)
+    names, matrix = names[sizes > 0], matrix[sizes > 0] / sizes[sizes > 0, None]
+    sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, matrix = sent.value
+        for batch in batches:
+            ids, rows = batch["vec_id"].to_numpy(), np.array(batch["embedding"].tolist(), dtype=float).reshape(len(batch), width)
+            length = np.linalg.norm(rows, axis=1)
+            ids, rows = ids[length > 0], rows[length > 0] / length[length > 0, None]
+            order = np.argsort(ids, kind="stable")  # equal cosines go by id
+            ids, close = ids[order], np.round(matrix @ rows[order].T, 6)
+            best = np.argsort(-close, axis=1, kind="stable")[:, :most]
+            got = np.take_along_axis(close, best, axis=1)
+            keep = got >= least
+            yield pd.DataFrame({"query_id": np.repeat(names, keep.sum(axis=1)), "vec_id": ids[best][keep], "cosine": got[keep]})
+
+    fit = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") == width)).select("vec_id", "embedding")
+    return fit.mapInPandas(multiply, f"query_id {kinds[0]}, vec_id {kinds[1]}, cosine double")

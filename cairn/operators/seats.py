@@ -18,6 +18,7 @@ from cairn.operators.retrieve import top
 from cairn.session import checkpointed
 
 CHUNK = 64
+SCAN = 300  # fixed value: how far down the line of a measurement is looked for
 STATE = "query_id {}, taken array<struct<sid:{},source:string,sentence:string,words:array<string>>>, over array<struct<sid:{},source:string,sentence:string,words:array<string>>>, done boolean"
 
 
@@ -150,20 +151,25 @@ def named_places(seated: DataFrame, named: DataFrame) -> DataFrame:
     return marked.withColumn("seat", F.row_number().over(by)).select("query_id", "seat", "sid", "source", "sentence")
 
 
-def measurement_seat(ranked: DataFrame, seated: DataFrame, queries: DataFrame, keys: DataFrame, quantities: DataFrame, bounds: DataFrame, scan: int = 300) -> DataFrame:
+def asks_quantity(queries: DataFrame, quantities: DataFrame) -> DataFrame:
+    """(query_id, asks): the words of a question that are, begin with, or share the stem of a token the corpus binds to numbers."""
+    word = queries.select("query_id", F.explode(F.array_distinct(tx.words(F.col("query")))).alias("word"))
+    token = quantities.select("token").distinct()
+    met = (F.col("word") == F.col("token")) | F.startswith("word", F.col("token")) | tx.same_stem(F.col("word"), F.col("token"))
+    # all of these share the first letter
+    return word.join(token, F.left("word", F.lit(1)) == F.left("token", F.lit(1))).filter(met).groupBy("query_id").agg(F.collect_set("word").alias("asks"))
+
+
+def measurement_seat(ranked: DataFrame, seated: DataFrame, queries: DataFrame, keys: DataFrame, quantities: DataFrame, bounds: DataFrame) -> DataFrame:
     """RK-07: (query_id, sid, source, sentence): one more line for a question that asks for a quantity by its word.
 
-    Of the first ``scan`` ranked lines (query_id, rank, sid, source, sentence) that are short, name one of the question's words as a field (``keys``: word, sid),
+    Of the first ``SCAN`` ranked lines (query_id, rank, sid, source, sentence) that are short, name one of the question's words as a field (``keys``: word, sid),
     state a measure in a unit of the corpus (``quantities``: token) and do not spell the word asked for, the one most of whose words are the
     question's; lines of a region that is seated already give way.  ``bounds`` is one row (chars, toks) of record size.
     """
     asked = queries.select("query_id", F.array_distinct(tx.words(F.col("query"))).alias("qw"))
-    word = asked.select("query_id", F.explode("qw").alias("word"))
-    # a quantity is met by the whole word, as its beginning, or by stem: all of these share the first letter
     token = quantities.select("token").distinct()
-    met = (F.col("word") == F.col("token")) | F.startswith("word", F.col("token")) | tx.same_stem(F.col("word"), F.col("token"))
-    asks = word.join(token, F.left("word", F.lit(1)) == F.left("token", F.lit(1))).filter(met).groupBy("query_id").agg(F.collect_set("word").alias("asks"))
-    lines = ranked.filter(F.col("rank") <= scan).join(asks, "query_id").join(asked, "query_id")
+    lines = ranked.filter(F.col("rank") <= SCAN).join(asks_quantity(queries, quantities), "query_id").join(asked, "query_id")
     field = keys.select("sid", F.col("word").alias("key")).distinct()
     keyed = lines.join(field, "sid").filter(F.exists("qw", lambda q: tx.kin(q, F.col("key")))).select("query_id", "rank", "sid", "source", "sentence", "asks", "qw").distinct()
     sized = keyed.join(F.broadcast(bounds), F.lit(True)).withColumns({"t": tx.tokens(F.col("sentence")), "m": tx.measure(F.col("sentence"))})

@@ -138,6 +138,19 @@ def locator_runs(rows: DataFrame, key: str = "doc_id", least: int = 3) -> DataFr
     return runs.filter((F.col("lines") >= least) & (F.col("low") < F.col("high"))).select(key, "start", "lines")
 
 
+def without_locators(rows: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:
+    """TXT-23: (key, pos, line): lines of a run of locators without the number at their end, all others as they are.
+
+    A run right below a line that names its last column (text with a gap of two blanks or a tab before its last word) keeps its numbers.
+    """
+    gap = F.col("line").rlike(r"(?:\s{2,}|\t)\S*\p{L}\S*\s*$")
+    heads = rows.filter(gap).select(key, (F.col("pos") + 1).alias("start"), F.lit(True).alias("named"))
+    runs = locator_runs(rows, key, least).join(heads, [key, "start"], "left").filter("named is null")
+    places = runs.select(key, F.explode(F.sequence("start", (F.col("start") + F.col("lines") - 1).cast(rows.schema["pos"].dataType))).alias("pos")).withColumn("located", F.lit(True))
+    marked = rows.join(places, [key, "pos"], "left")
+    return marked.select(key, "pos", F.when(F.col("located"), F.regexp_replace("line", r"\s+\d{1,5}\s*$", "")).otherwise(F.col("line")).alias("line"))
+
+
 def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, line) of the non-empty lines of each text."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
@@ -145,13 +158,16 @@ def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def delimited_rows(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """TXT-22: (key, run, pos, cells): rows of two marks or more, in runs of at least two lines of one width."""
-    bars = F.length("line") - F.length(F.translate("line", "|", ""))
+    """TXT-22: (key, run, pos, cells): lines of two bars, or two tabs, or more, in runs of at least two; of a run the rows of its commonest width."""
+    count = lambda sign: F.length("line") - F.length(F.translate("line", sign, ""))
     by = Window.partitionBy(key).orderBy("pos")
-    table = lines.filter(bars >= 2).withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c)))
-    table = table.withColumn("run", F.col("pos") - F.row_number().over(by))
-    sized = table.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(key, "run", F.size("cells"))))
-    return sized.filter("rows >= 2").select(key, "run", "pos", "cells")
+    sign = F.when(count("|") >= 2, "\\|").when(count("\t") >= 2, "\t")
+    inner = F.when(count("|") >= 2, F.regexp_replace("line", r"^\s*\||\|\s*$", "")).otherwise(F.col("line"))
+    table = lines.filter(sign.isNotNull()).withColumn("cells", F.transform(F.split(inner, sign), lambda c: F.trim(c)))
+    table = table.withColumn("run", F.col("pos") - F.row_number().over(by)).withColumn("width", F.size("cells"))
+    widths = table.groupBy(key, "run", "width").agg(F.count(F.lit(1)).alias("n"))
+    modal = widths.groupBy(key, "run").agg(F.max(F.struct("n", "width")).alias("m")).filter("m.n >= 2").select(key, "run", F.col("m.width").alias("width"))
+    return table.join(modal, [key, "run", "width"]).select(key, "run", "pos", "cells")
 
 
 def table_records(lines: DataFrame, key: str = "doc_id") -> DataFrame:

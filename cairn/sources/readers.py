@@ -14,13 +14,16 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions import text as tx
+from cairn.operators.records import cell_text
+
 TEXT = {".txt", ".text", ".md", ".markdown", ".rst", ".log", ""}
 KNOWN = TEXT | {".csv", ".xlsx", ".docx", ".pdf", ".json", ".parquet"}
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -198,29 +201,103 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, "source string, part string, pos int, text string, row map<string,string>")
 
 
-def key_values(text: str) -> list[tuple[str, str]]:
-    """SRC-13: pairs of up to three digit-free words before a colon and what follows."""
-    keys = list(re.finditer(r"(?:(?<=^)|(?<=[\s,;·|]))((?:[^\W\d_]+[ ]){0,2}[^\W\d_]+)\s*:\s*", text))
-    return [(m[1].strip(), text[m.end() : keys[i + 1].start() if i + 1 < len(keys) else len(text)].strip(" ,;·|")) for i, m in enumerate(keys)]
+# Fixed value, the written form of a key: up to three words without a digit or a separator before a colon.
+KEY = r"(?<![^\s:,;·|])((?:[^\s:,;·|\d]+[ \t]+){0,2}[^\s:,;·|\d]+)\s*:\s*"
+_EDGE = r"^[ ,;·|]+|[ ,;·|]+$"
+
+
+def key_values(text: Column) -> Column:
+    """SRC-13: array of (key, value) of a cell 'A: 1 B: 2': each key with what stands before the next; pairs without a value fall away."""
+    bare = lambda x: F.regexp_replace(x, _EDGE, "")
+    values = F.split(text, KEY)  # what stands before the first key is no value
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(KEY), 1), F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
+                       lambda k, v: F.struct(bare(k).alias("key"), bare(F.coalesce(v, F.lit(""))).alias("value")))
+    return F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+
+
+def leading_value(text: Column) -> Column:
+    """SRC-14: struct (key, value) of 'name 410 mm', parted before its first word with a digit where the words before are no more than the rest; else null."""
+    def parted(w: Column) -> Column:
+        before = F.array_position(F.transform(w, lambda x: x.rlike(r"\p{Nd}")), F.lit(True)).cast("int") - 1
+        fits = (before >= 1) & (2 * before <= F.size(w))
+        return F.when(fits, F.struct(F.array_join(F.slice(w, 1, F.greatest(before, F.lit(1))), " ").alias("key"), F.array_join(F.slice(w, before + 1, F.size(w)), " ").alias("value")))
+
+    return tx.let(F.filter(F.split(text, r"\s+"), lambda x: x != ""), parted)
+
+
+def without_sparse_first(rows: DataFrame, table: str) -> DataFrame:
+    """SRC-15: (table, pos, cells) without the first column while rows have more than two and fewer than half of a table's rows fill it.
+
+    Each column's share of filled rows is one aggregate, so the columns that go are known before any is cut.
+    """
+    each = rows.select(table, F.size("cells").alias("width"), F.posexplode("cells").alias("at", "cell"))
+    filled = each.groupBy(table, "at").agg(F.sum((F.col("cell") != "").cast("int")).alias("filled"))
+    sizes = rows.groupBy(table).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("width"))
+    stays = filled.join(sizes, table).filter((2 * F.col("filled") >= F.col("n")) | (F.col("width") - F.col("at") <= 2))
+    first = stays.groupBy(table).agg(F.min("at").alias("first"))
+    return rows.join(first, table).select(table, "pos", F.slice("cells", F.col("first") + 1, F.greatest(F.size("cells") - F.col("first"), F.lit(0))).alias("cells"))
+
 
+def table_claims(rows: DataFrame, table: str = "source") -> DataFrame:
+    """SRC-11 .. SRC-15: (table, pos, key, value) of cells: two-column rows are key and value, single cells are read by their colons or their figure.
+
+    ``rows``: (table, pos, cells); sparse label columns are dropped first.
+    """
+    made = without_sparse_first(rows, table).withColumn("cells", F.transform("cells", cell_text))
+    held = made.withColumn("cells", F.filter("cells", lambda c: c != ""))
+    two = held.filter(F.size("cells") == 2).select(table, "pos", F.get("cells", 0).alias("key"), F.get("cells", 1).alias("value"))
+    single = held.filter(F.size("cells") == 1).select(table, "pos", F.get("cells", 0).alias("cell"))
+    kv = single.select(table, "pos", "cell", key_values(F.col("cell")).alias("kv"))
+    by_colon = kv.filter(F.size("kv") > 0).select(table, "pos", F.explode("kv").alias("p"))
+    by_figure = kv.filter(F.size("kv") == 0).select(table, "pos", leading_value(F.col("cell")).alias("p")).filter("p is not null")
+    return two.unionByName(by_colon.unionByName(by_figure).select(table, "pos", "p.key", "p.value"))
+
+
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-19: (sid, source, speaker, sentence) of saved evidence, a JSON list of [sentence, source, speaker]; a damaged file is empty."""
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("at", "r")).filter("r[0] is not null")
+    return rows.select(F.concat(F.lit("saved:"), F.col("at").cast("string")).alias("sid"), F.coalesce(F.get("r", 1), F.lit("")).alias("source"),
+                       F.coalesce(F.get("r", 2), F.lit("")).alias("speaker"), F.get("r", 0).alias("sentence"))
+
+
+def read_aids(spark: SparkSession, path: str) -> dict:
+    """SRC-19: the saved aids beside the evidence, a small JSON object; a missing or damaged file gives none."""
+    known = ("derived", "bridge", "kinds", "bounds", "at", "keys")
+    try:
+        held = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    except Exception:
+        return {}
+    return {k: held[k] for k in known if k in held} if isinstance(held, dict) else {}
+
+
+def summaries(titles: DataFrame, fetch: Callable[[str, str], tuple[str, str]], languages: tuple[str, ...] = ("tr", "en", "de", "fr", "es")) -> DataFrame:
+    """SRC-20: (title, text, url) by a caller's ``fetch(title, language)``: the first language with a text; a failure is an empty text."""
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for title in batch["title"]:
+                found = ("", "")
+                for language in languages:
+                    try:
+                        found = fetch(title, language)
+                    except Exception:
+                        found = ("", "")
+                    if found[0]:
+                        break
+                rows.append((title, *found))
+            yield pd.DataFrame(rows, columns=["title", "text", "url"])
 
-def leading_value(text: str) -> tuple[str, str] | None:
-    """SRC-14: 'name 410 mm' split at its first word with a digit, where that lies in the first half and is not the first."""
-    words = text.split()
-    at = next((i for i, w in enumerate(words) if any(c.isdigit() for c in w)), None)
-    return (" ".join(words[:at]), " ".join(words[at:])) if at and at <= len(words) / 2 else None
+    return titles.select("title").filter("title is not null").distinct().mapInPandas(ask, "title string, text string, url string")
 
 
-def without_sparse_first(rows: list[list[str]]) -> list[list[str]]:
-    """SRC-15: the first column goes while rows have more than two and it is filled in fewer than half."""
-    while rows and max(map(len, rows)) > 2 and 2 * sum(bool(r and r[0]) for r in rows) < len(rows):
-        rows = [r[1:] for r in rows]
-    return rows
+# Fixed value: the first bytes of a saved memory's framed form.
+MAGIC = b"LMM1"
 
 
 def read_saved_memory(data: bytes) -> dict:
     """SRC-18: a saved memory: the framed binary form or plain JSON; another version, length or checksum is refused."""
-    if data[:4] != b"LMM1":
+    if data[:4] != MAGIC:
         return json.loads(data) if data.strip() else {"identities": [], "records": [], "experiences": []}
     version, size, checksum = struct.unpack(">BII", data[4:13])
     if version > 4:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import seams
 from cairn.memory import Memory
-from cairn.operators import answers
+from cairn.operators import answers, claims, identity
 
 
 def test_memory_learns_asks_and_saves(spark, tmp_path):
@@ -19,14 +19,92 @@ def test_memory_learns_asks_and_saves(spark, tmp_path):
     q = spark.createDataFrame([(1, "What pressure has Corridine?"), (2, "When does the boat leave?"), (3, "zzz")], "query_id int, query string")
     got = {r.query_id: (r.answer, r.abstained, r.from_graph) for r in m.ask(q).collect()}
     assert got == {1: ("8 bar", False, True), 2: ("The boat leaves at noon.", False, False), 3: (None, True, False)}
+    # a second file says the same: a witness more, no second row
+    (tmp_path / "u.csv").write_text("probe,pressure\nCorridine,8 bar\nZanwestel,26 bar\n")
+    assert m.learn(str(tmp_path / "u.csv"))["facts"] == 2
+    held = {(r.subject, r.value): (r.witnesses, round(r.trust, 3)) for r in m.records.collect()}
+    assert held["Corridine", "8 bar"] == (2, 0.66) and len(held) == 3
+    assert sorted(v[1] for k, v in held.items() if k[0] == "Zanwestel")[0] < 0.4  # a rival loses its voice
+    m.records = m.records.filter("value <> '26 bar'")
     m.save()
     again = Memory(spark, str(tmp_path / "store"))
     assert again.evidence.count() == 2 and again.records.count() == 2
     assert again.run_mind(dt.datetime(2026, 1, 1)) == ["sleep"] and again.records.count() == 2
+    assert {r.value for r in again.about("Corridine").collect()} == {"8 bar"}
     assert {r.source: r.lines for r in again.where("seal").collect()} == {}
     assert {r.source: r.lines for r in again.where("keepers").collect()} == {"#doc:log": 1}
 
 
+def test_mind_derives_to_saturation(spark):
+    m = Memory(spark)
+    for a, b in [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("b", "d"), ("d", "e")]:
+        m.learn_cell(a, "in", b, "#doc:x")
+    m.learn_cell("a", "in", "a", "#doc:x")  # its own subject: refused
+    assert m.records.count() == 6
+    done = m.run_mind(dt.datetime(2026, 1, 1))
+    assert "derive" in done and done[-1] == "sleep"
+    got = {(r.subject, r.value): r for r in m.records.filter("source = '#inference'").collect()}
+    assert set(got) == {("a", "d"), ("a", "e"), ("b", "e"), ("c", "e")} and all(r.level == 1 for r in got.values())
+
+
+def test_claim_gate(spark):
+    edges = spark.createDataFrame([("lamp", "harbour"), ("Ferry", "sea bird colony")], "subject string, value string")
+    said = spark.createDataFrame([(1, 0, "Hello."), (1, 1, "The lamp is in the harbour."), (1, 2, "The lamp is in the mill."), (2, 0, "birds"), (3, 0, "my bank")], "answer_id int, pos int, sentence string")
+    told = spark.createDataFrame([(1, 1, "harbour", "LAMP"), (1, 2, "lamp", "mill"), (2, 0, "ferry", "colonies"), (3, 0, "bank", "mine")], "answer_id int, pos int, subject string, value string")
+    assert {r.answer_id: r.text for r in claims.verified(said, told, edges).collect()} == {1: "Hello. The lamp is in the harbour.", 2: "birds", 3: ""}
+    assert {r.answer_id: r.text for r in claims.verified(said, told, edges, mode="ASSIST").collect()}[1].endswith("mill. ‹unverified›")
+    echo = spark.createDataFrame([(3, "the bank is mine")], "answer_id int, said string")
+    assert {r.answer_id: r.text for r in claims.verified(said, told, edges, echo).collect()}[3] == "my bank"
+
+
+def test_quoted_answers(spark):
+    lines = ["The valve holds 8 bar. It stands near the mill.", "The boat leaves at noon.", "The kettle is red; the lamp is blue."]
+    rows = [(1, "What pressure holds the valve?", "The valve holds 8 bar.", [0]), (2, "What?", "The valve holds 9 bar.", [0]), (3, "What?", "x", [7]), (4, "What?", "The kettle is blue.", [2]),
+            (5, "What?", "The valve holds 8 bar.", []), (6, "What?", "boat noon lamp", [1])]
+    df = spark.createDataFrame([(i, q, s, lines, h) for i, q, s, h in rows], "answer_id int, question string, said string, lines array<string>, held array<int>")
+    got = {r.answer_id: (r.accepted, r.why) for r in claims.quoted(df).collect()}
+    assert got[1] == (True, None) and got[3] == (False, "lines") and got[5] == (False, "lines") and got[4] == (False, "joined") and got[6] == (False, "joined")
+    assert not got[2][0]
+
+
+def test_regions_and_assertions(spark):
+    assert claims.regions([["a", "b", "c"], ["a", "b", "x"], ["q"], ["b", "x", "y"]]) == [0, 0, 2, 0]
+    proofs = ["the boat leaves at noon", "the mill stands near water", "a kettle is red"]
+    rows = [(1, "The boat leaves at noon.", proofs), (2, "Nothing is told of it.", proofs), (3, "whatever", proofs[:2]), (4, None, proofs)]
+    got = {r.answer_id: r.asserted for r in claims.asserts_fact(spark.createDataFrame(rows, "answer_id int, answer string, proofs array<string>")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_choices_of_answers(spark):
+    q, a, x = F.lit("what is red"), F.lit("the kettle stands red"), F.array(F.lit("the kettle stands red"))
+    row = spark.range(1).select(claims.shortcut(q, a, x), claims.shortcut(F.lit("kettle red"), F.lit("red kettle"), F.array(F.lit("other"))), claims.shortcut(q, F.lit("mill"), x)).first()
+    assert tuple(row) == ("accept", "refuse", None)
+    proof = spark.createDataFrame([(1, "The harbour guide says so", 0, "the boat", "#doc:mill"), (1, "The harbour guide says so", 1, "so it says", "#doc:harbour guide"), (2, "boat at noon", 0, "a mill", "#a"), (2, "boat at noon", 1, "boat at noon", "#b")],
+                                  "answer_id int, said string, place int, line string, origin string")
+    assert {r.answer_id: r.origin for r in claims.load_bearing(proof, spark.createDataFrame([("#doc:tide board",)], "source string")).collect()} == {1: "#doc:harbour guide", 2: "#b"}
+    c = spark.createDataFrame([(1, 0, "which boat", "a mill", "the boat", True), (1, 1, "which boat", "the boat", "the boat", True), (1, 2, "which boat", "the boat boat", "the boat", False), (2, 0, "q", "a", "b", None)],
+                              "query_id int, place int, question string, said string, proof string, passes boolean")
+    assert [(r.query_id, r.place) for r in claims.selected(c).collect()] == [(1, 1)]
+    events = spark.createDataFrame([(1, "blue kettle", "was bought", "purchase"), (1, "lamp, kettle", "were sold", "sale"), (1, "mill", "burned", "loss")], "passage_id int, thing string, happened string, kind string")
+    passages = spark.createDataFrame([(1, "#said", "I bought the blue kettles today")], "passage_id int, source string, text string")
+    assert [(r.subject, r.value) for r in claims.events_told(events, passages).collect()] == [("blue kettle", "was bought")]
+
+
+def test_identities(spark):
+    labels = spark.createDataFrame([("valve", 7, 3)], "label string, key long, seen int")
+    keys, all_ = identity.ensured(spark.createDataFrame([("Valve",), ("(mill)",), ("  ",)], "name string"), labels)
+    got = {r.name: r.key for r in keys.collect()}
+    assert got["Valve"] == 7 and got["(mill)"] > 0 and len(got) == 2
+    assert {r.label for r in all_.filter(F.col("key") == got["(mill)"]).collect()} == {"(mill)", "mill"}
+    assert identity.unit_identities(spark.createDataFrame([("mm",)], "token string")).first().key < 0
+    known = spark.createDataFrame([(i, 1, 1, v) for i, v in [(1, "a"), (2, "b"), (3, "a")]] + [(4, 2, 1, "a")], "record_key long, subject long, predicate long, value string")
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
+    assert {r.record_key: r.field for r in identity.contradiction_fields(known, links).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    edges = spark.createDataFrame([("x", "causes", "y"), ("y", "causes", "z")], "subject string, predicate string, value string")
+    assert [r.cause for r in identity.causes_of(edges, "z").collect()] == ["y"] and [r.effect for r in identity.effects_of(edges, "x").collect()] == ["y"]
+    assert identity.neighbours(edges, spark.createDataFrame([("y",)], "key string")).count() == 2
+
+
 def test_seams(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     assert [r[0] for r in df.select(seams.encoded(F.col("t"), lambda ts: [[1.0] for _ in ts])).collect()] == [[1.0], None]

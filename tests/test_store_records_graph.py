@@ -317,12 +317,31 @@ def test_readers(spark, tmp_path):
             readers.learned(spark, bad)
 
 
-def test_small_readers():
-    assert readers.key_values("Range: 5 m, Max power: 40 W") == [("Range", "5 m"), ("Max power", "40 W")]
-    assert readers.leading_value("Height 410 mm") == ("Height", "410 mm")
-    assert readers.leading_value("Height of the mast 410 mm") is None and readers.leading_value("410 mm high") is None
-    assert readers.leading_value("Height 410 mm net weight") == ("Height", "410 mm net weight")
-    assert readers.without_sparse_first([["", "a", "b"], ["", "c", "d"], ["x", "e", "f"]]) == [["a", "b"], ["c", "d"], ["e", "f"]]
+def test_small_readers(spark):
+    cells = ["Range: 5 m, Max power: 40 W", "Height 410 mm", "Height of the mast 410 mm", "410 mm high", "Height 410 mm net weight", "A: 1 B2: 3", None, ""]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", readers.key_values(F.col("c")).alias("k"), readers.leading_value(F.col("c")).alias("l")).orderBy("i").collect()
+    assert [None if r.k is None else [tuple(p) for p in r.k] for r in got] == [[("Range", "5 m"), ("Max power", "40 W")], [], [], [], [], [("A", "1 B2: 3")], None, []]
+    assert [None if r.l is None else tuple(r.l) for r in got][1:6] == [("Height", "410 mm"), None, None, ("Height", "410 mm net weight"), ("A:", "1 B2: 3")]
+    rows = [("t", 0, ["", "a", "b"]), ("t", 1, ["", "c", "d"]), ("t", 2, ["x", "e", "f"]), ("u", 0, ["k", "v", "w"]), ("u", 1, ["", "v", "w"])]
+    df = spark.createDataFrame(rows, "source string, pos int, cells array<string>")
+    assert {(r.source, r.pos): r.cells for r in readers.without_sparse_first(df, "source").collect()} == {
+        ("t", 0): ["a", "b"], ("t", 1): ["c", "d"], ("t", 2): ["e", "f"], ("u", 0): ["k", "v", "w"], ("u", 1): ["", "v", "w"]}
+    assert sorted((r.key, r.value) for r in readers.table_claims(df.filter("source = 't'")).collect()) == [("a", "b"), ("c", "d"), ("e", "f")]
+    fetch = lambda title, language: ("text", "url") if language == "en" and title == "Lamp" else 1 / 0
+    found = readers.summaries(spark.createDataFrame([("Lamp",), ("Gone",), (None,)], "title string"), fetch).collect()
+    assert sorted(map(tuple, found)) == [("Gone", "", ""), ("Lamp", "text", "url")]
+
+
+def test_saved_evidence(spark, tmp_path):
+    (tmp_path / "m.evidence").write_text(json.dumps([["The boat leaves.", "#doc:a", ""], ["Hello", "#said", "me"]]))
+    (tmp_path / "bad.evidence").write_text("[[cut")
+    assert [(r.source, r.speaker, r.sentence) for r in readers.read_evidence(spark, str(tmp_path / "m.evidence")).orderBy("sid").collect()] == [("#doc:a", "", "The boat leaves."), ("#said", "me", "Hello")]
+    assert readers.read_evidence(spark, str(tmp_path / "bad.evidence")).count() == 0
+    (tmp_path / "m.expansion").write_text('{"bounds": [3, 4], "other": 1}')
+    assert readers.read_aids(spark, str(tmp_path / "m.expansion")) == {"bounds": [3, 4]} and readers.read_aids(spark, str(tmp_path / "gone")) == {}
+
+
+def test_saved_memory():
     raw = json.dumps({"records": []}).encode()
     framed = b"LMM1" + struct.pack(">BII", 4, len(raw), zlib.crc32(raw)) + zlib.compress(raw)
     assert readers.read_saved_memory(framed) == {"records": []}
