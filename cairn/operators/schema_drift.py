@@ -282,9 +282,10 @@ def consistent_table(lines: DataFrame, most_columns: int = 2_000) -> DataFrame:
     fields.  The distinct fields are the table's schema and the only thing collected; more than ``most_columns`` raise ValueError.
     """
     rows, kinds = _loaded(lines)
-    wanted = kinds.filter("type <> 'object'").orderBy("field").limit(most_columns + 1).collect()
-    if len(wanted) > most_columns:
+    known = kinds.orderBy("field").limit(most_columns + 1).collect()
+    if len(known) > most_columns:
         raise ValueError(f"more than {most_columns} distinct fields")
+    wanted = [r for r in known if r["type"] != "object"]
     taken = {"series", "file_path", "written_at", "line_no", "valid", "failed"}
     names: dict[str, str] = {}
     for r in wanted:  # names that differ in case alone, or are a key's, get a number
@@ -297,14 +298,12 @@ def consistent_table(lines: DataFrame, most_columns: int = 2_000) -> DataFrame:
     given = F.filter(F.arrays_zip(F.col("fields").alias("f"), F.col("texts").alias("t")), lambda x: x["t"].isNotNull())
     keyed = rows.withColumn("held", F.map_from_entries(F.transform(given, lambda x: F.struct(x["f"], x["t"]))))
     columns = [F.col("held")[f].try_cast(SQL_TYPES[types[f]]).alias(n) for f, n in names.items()]
-    # only fields that may fail are looked at again: their names by type are the schema's
-    of = lambda kind: F.array(*(F.lit(f) for f, k in types.items() if SQL_TYPES[k] == kind)).cast("array<string>")
-    bad = lambda f, t: (
-        F.when(F.array_contains(of("BIGINT"), f), t.try_cast("bigint").isNull()).when(F.array_contains(of("DOUBLE"), f), t.try_cast("double").isNull())
-        .when(F.array_contains(of("BOOLEAN"), f), t.try_cast("boolean").isNull()).otherwise(~F.array_contains(of("STRING"), f))
-    )
-    failed = F.map_filter("held", bad)
-    failed = F.transform_keys(failed, lambda f, t: F.translate(f, SEP, "."))
+    # a field fails where its text is no value of its type; any text of a field that is an object does
+    misfit = [F.col("held")[f].isNotNull() & F.col("held")[f].try_cast(SQL_TYPES[types[f]]).isNull() for f in names if SQL_TYPES[types[f]] != "STRING"]
+    misfit += [F.col("held")[r["field"]].isNotNull() for r in known if r["type"] == "object"]
+    at = [f for f in names if SQL_TYPES[types[f]] != "STRING"] + [r["field"] for r in known if r["type"] == "object"]
+    each = [F.when(bad, F.struct(F.lit(f.replace(SEP, ".")).alias("key"), F.col("held")[f].alias("value"))) for f, bad in zip(at, misfit)]
+    failed = F.map_from_entries(F.array_compact(F.array(*each))) if each else F.create_map().cast("map<string,string>")
     return keyed.select("series", "file_path", "written_at", "line_no", "valid", *columns, F.coalesce(failed, F.create_map().cast("map<string,string>")).alias("failed"))
 
 
