@@ -194,17 +194,6 @@ def scoped(rows: DataFrame, questions: DataFrame, most: int = 6) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= most).select("query_id", "sid", "shared")
 
 
-def meaning_fused(lexical: DataFrame, vectors: DataFrame, queries: DataFrame, rows: DataFrame, most_sources: int = 5) -> DataFrame:
-    """RK-11: (query_id, key, score, place): the lexical ranking fused with the lines of the five nearest sources.
-
-    ``vectors``: (source, embedding), ``queries``: (query_id, query_vector), ``rows``: (query_id, sid, source, rank).
-    """
-    close = retrieve.near(vectors.withColumnRenamed("source", "vec_id"), queries, most_sources).select("query_id", F.col("vec_id").alias("source"), F.col("rank").alias("near"))
-    by = Window.partitionBy("query_id").orderBy("near", "rank")
-    second = rows.join(close, ["query_id", "source"]).withColumn("r", F.row_number().over(by)).select("query_id", F.col("sid").alias("key"), F.col("r").alias("rank"))
-    return retrieve.rrf_by(lexical.select("query_id", F.col("sid").alias("key"), "rank").unionByName(second))
-
-
 def maxsim(query: Column, line: Column) -> Column:
     """RK-13: the mean over the query's piece vectors of the greatest cosine with the line's."""
     best = F.transform(query, lambda q: F.array_max(F.transform(line, lambda x: retrieve.cosine(q, x))))

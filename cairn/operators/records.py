@@ -13,6 +13,7 @@ from cairn.session import checkpointed
 # Source levels and the trust that each begins with.
 TRUST = {5: 0.75, 4: 0.60, 3: 0.50, 2: 0.35, 1: 0.30}
 SPEAK, SHARE, CAP = 0.4, 0.15, 0.98
+# A step of fading, its floor, the seconds for which a record is fresh, and the trust of what is settled.
 FADE, FLOOR, FRESH_S, SETTLED = 0.03, 0.1, 3600, 0.65
 
 
@@ -69,11 +70,6 @@ def admitted(claims: DataFrame) -> DataFrame:
     ).withColumn("trust", F.round(reinforced_trust(base_trust(F.col("level")), F.col("witnesses")), 9))
 
 
-def rank_order(key: str = "record_key") -> list[Column]:
-    """GR-14: level, witnesses, recency, trust, key."""
-    return [F.col("level").desc_nulls_last(), F.col("witnesses").desc_nulls_last(), F.col("at").desc_nulls_last(), F.col("trust").desc_nulls_last(), F.col(key)]
-
-
 def arbitrated(records: DataFrame, key: str = "record_key") -> DataFrame:
     """GR-12 .. GR-14: the slot's winner keeps its trust, every rival is capped below speaking.
 

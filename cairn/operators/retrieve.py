@@ -244,7 +244,9 @@ def find(
         plain = answers.scoped(bare, queries, most).join(rows, "sid")
         by = Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "sid")
         seated = seated.unionByName(plain.withColumn("seat", F.row_number().over(by)).select(*seated.columns))
-    seated = checkpointed(seats.named_places(seats.without_superseded(seated), name_bonus(queries, rows)))
+    spoken = name_bonus(queries, rows).select("query_id", "source").distinct()
+    placed = answers.named_first(seats.without_superseded(seated).withColumnRenamed("seat", "rank"), spoken)
+    seated = checkpointed(placed.select("query_id", F.col("place").alias("seat"), "sid", "source", "sentence"))
     bounds = known.select(F.length("sentence").alias("c"), F.size("toks").alias("t")).selectExpr(f"{store.UPPER_MEDIAN.format('c')} AS chars", f"{store.UPPER_MEDIAN.format('t')} AS toks")
     units = checkpointed(store.learned_quantities(rows, "sentence", longest=None))
     # only questions that ask for a quantity look further down, under the floor

@@ -144,13 +144,6 @@ def without_superseded(seated: DataFrame) -> DataFrame:
     return held.groupBy("query_id").applyInPandas(keep, seated.schema)
 
 
-def named_places(seated: DataFrame, named: DataFrame) -> DataFrame:
-    """RK-05 over seats: lines of sources the question names come first; seats are numbered anew."""
-    marked = seated.join(named.select("query_id", "source").distinct().withColumn("spoken", F.lit(0)), ["query_id", "source"], "left")
-    by = Window.partitionBy("query_id").orderBy(F.coalesce("spoken", F.lit(1)), "seat")
-    return marked.withColumn("seat", F.row_number().over(by)).select("query_id", "seat", "sid", "source", "sentence")
-
-
 def asks_quantity(queries: DataFrame, quantities: DataFrame) -> DataFrame:
     """(query_id, asks): the words of a question that are, begin with, or share the stem of a token the corpus binds to numbers."""
     word = queries.select("query_id", F.explode(F.array_distinct(tx.words(F.col("query")))).alias("word"))

@@ -224,44 +224,128 @@ def anchor_level(indents: list[int], period: int) -> int | None:
     return best[1] if best else None
 
 
-def cut_rows(cells: list[str], period: int) -> list[list[str]]:
-    """TXT-21: rows of about one period that best keep each column's length, by dynamic programming in a few rounds."""
-    n = len(cells)
-    length = [len(c) for c in cells]
-    profile = [sum(length[i::period]) / max(1, len(length[i::period])) for i in range(period)]
-    cuts: list[int] = []
-    for _ in range(4):
-        best: list[tuple[float, int]] = [(0.0, -1)] + [(float("inf"), -1)] * n
-        for end in range(1, n + 1):
-            for width in (period - 1, period, period + 1):
-                start = end - width
-                if width < 1 or start < 0 or best[start][0] == float("inf"):
+class _Run:
+    """The cells of one flattened table, to be cut into rows of about one period."""
+
+    def __init__(self, lengths: list[int], period: int, anchors: list[int]):
+        import numpy as np
+
+        self.np, self.size, self.period = np, np.asarray(lengths, dtype=float), period
+        self.n = len(lengths)
+        self.held = np.concatenate([[0], np.cumsum(np.isin(np.arange(self.n), anchors))])
+        self.anchors = anchors
+        self.widths = [w for w in (period - 1, period, period + 1) if w >= 2]
+
+    def solve(self, profile) -> tuple[float, list[tuple[int, int]]]:
+        """(cost, rows) of the cheapest cut: what is left from each cell on, from the last cell to the first.
+
+        A row costs how far its cells are from the profile's lengths, a cell too many or too few a mean length, a row
+        without an anchor cell another; a row holds one anchor cell at most.  Cells above the first row and behind the last one
+        cost a mean length each and hold no anchor.
+        """
+        np = self.np
+        loose = max(1.0, float(np.mean(profile)))
+        left = np.full(self.n + 1, np.inf)
+        left[self.n] = 0.0
+        step = [0] * (self.n + 1)
+        for i in range(self.n - 1, -1, -1):
+            if self.held[self.n] == self.held[i]:
+                left[i] = loose * (self.n - i)
+            for w in self.widths:
+                j = i + w
+                inside = self.held[min(j, self.n)] - self.held[i]
+                if j > self.n or inside > 1:
                     continue
-                cost = sum(abs(length[start + i] - profile[min(i, period - 1)]) for i in range(width)) + (0 if width == period else period)
-                if best[start][0] + cost < best[end][0]:
-                    best[end] = (best[start][0] + cost, start)
-        end = max((i for i in range(n + 1) if best[i][0] < float("inf")), default=0)
-        found = []
-        while end > 0:
-            found.append((best[end][1], end))
-            end = best[end][1]
-        found.reverse()
-        if found == cuts:
-            break
-        cuts = found
-        rows = [length[a:b] for a, b in cuts]
-        profile = [sum(r[i] for r in rows if i < len(r)) / max(1, sum(i < len(r) for r in rows)) for i in range(period)]
-    return [cells[a:b] for a, b in cuts]
-
-
-def shattered_rows(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """TXT-18: (key, row, text): tables flattened to one cell a line, put back into rows; a document is one group."""
+                want = profile[np.minimum(np.arange(w), self.period - 1)]
+                cost = float(np.abs(self.size[i:j] - want).sum()) + loose * (abs(w - self.period) + (inside == 0)) + left[j]
+                if cost < left[i]:
+                    left[i], step[i] = cost, w
+        first = self.anchors[0] if self.anchors else 0
+        start = min(range(first + 1), key=lambda i: (loose * i + left[i], i))
+        rows, at = [], start
+        while at < self.n and step[at]:
+            rows.append((at, at + step[at]))
+            at += step[at]
+        return loose * start + float(left[start]), rows
+
+    def profile(self, rows: list[tuple[int, int]]):
+        """The upper median length of each column over the rows that are long enough."""
+        columns: list[list[float]] = [[] for _ in range(self.period)]
+        for a, b in rows:
+            if b - a >= self.period:
+                for k in range(a, b):
+                    columns[min(k - a, self.period - 1)].append(self.size[k])
+        return self.np.array([sorted(c)[len(c) // 2] if c else 0.0 for c in columns])
+
+    def best(self, rounds: int = 4) -> list[tuple[int, int]]:
+        """Cuts and profile in turn, from every place where a row may begin before an anchor cell; the cheapest cut wins."""
+        starts = sorted({a - k for a in self.anchors or range(self.period) for k in range(self.period) if 0 <= a - k <= self.n - self.period})
+        found: tuple[float, list] = (float("inf"), [])
+        for s in starts:
+            profile, rows = self.size[s : s + self.period], None
+            for _ in range(rounds):
+                _, new = self.solve(profile)
+                if not new or new == rows:
+                    break
+                rows, profile = new, self.profile(new)
+            if rows:
+                found = min(found, self.solve(profile), key=lambda x: x[0])
+        return found[1]
+
+
+def cut_rows(cells: list[str], period: int, anchors: list[int] | None = None) -> list[list[str]]:
+    """TXT-21: rows of about one period that best keep each column's length; ``anchors`` are the places of a column's cells (TXT-20)."""
+    return [cells[a:b] for a, b in _Run([len(c) for c in cells], period, sorted(anchors or [])).best()]
+
+
+def rows_of_run(cells: list[str], indents: list[int]) -> list[list[str]] | None:
+    """TXT-18 .. TXT-21: the rows of a run of short lines, or None where its layout does not say where a row begins."""
+    period = row_period([len(c) for c in cells])
+    if not period:
+        return None
+    level = anchor_level(indents, period)
+    if level is None:
+        return None
+    return cut_rows(cells, period, [i for i, x in enumerate(indents) if x == level])
+
+
+def indented_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, indent, line) of the non-empty lines of each text, a tab being one step."""
+    each = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw")).filter(F.col("raw").rlike(r"\S"))
+    line = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    return each.select(key, "pos", (F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))).alias("indent"), line.alias("line"))
+
+
+def table_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3, lead: int = 6) -> DataFrame:
+    """TXT-18: (key, kind, at, text) of the tables of each text, row by row.
+
+    'delimited' rows are read as ``name: cell``, where a rule says so, else as their cells.  Other runs of at least ``least`` short lines
+    (TXT-17) are put back into 'row's; where their layout does not say how, every second cell gives a 'window' of its neighbours behind
+    the run's first ``lead`` cells.  A group is one run of one text.
+    """
+    lines = indented_lines(docs, key, text)
+    marked = delimited_rows(lines.select(key, "pos", "line"), key)
+    named = table_records(lines.select(key, "pos", "line"), key).groupBy(key, "pos").agg(F.array_join(F.collect_list(F.concat_ws(": ", "name", "value")), " · ").alias("text"))
+    bare = marked.filter(~F.forall("cells", lambda c: c.rlike(r"^:?-{2,}:?$"))).select(key, "pos", F.array_join("cells", " · ").alias("cells"))
+    told = bare.join(named, [key, "pos"], "left").select(key, F.lit("delimited").alias("kind"), F.col("pos").alias("at"), F.coalesce("text", "cells").alias("text"))
+    rest = lines.join(marked.select(key, "pos"), [key, "pos"], "left_anti")
+    short = rest.join(otsu_bound(rest.withColumn("l", F.length("line")), key, "l"), key).filter(F.length("line") <= F.col("bound"))
+    by = Window.partitionBy(key).orderBy("pos")
+    order = lines.select(key, "pos", F.row_number().over(by).alias("nth"))
+    runs = short.join(order, [key, "pos"]).withColumn("run", F.col("nth") - F.row_number().over(by))
+    long = runs.groupBy(key, "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(key, "run")
+
     def rebuild(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        cells = part["line"].tolist()
-        period = row_period([len(c) for c in cells])
-        rows = cut_rows(cells, period) if period else [cells[max(0, i - 1) : i + 6] for i in range(0, len(cells), 2)]
-        return pd.DataFrame({key: part[key].iloc[0], "row": range(len(rows)), "text": [" · ".join(r) for r in rows]})
-
-    kind = lines.schema[key].dataType.simpleString()
-    return lines.select(key, "pos", "line").groupBy(key).applyInPandas(rebuild, f"{key} {kind}, row int, text string")
+        cells, places = part["line"].tolist(), part["pos"].tolist()
+        rows = rows_of_run(cells, part["indent"].tolist())
+        if rows is None:
+            kind, head = "window", cells[:lead]
+            rows = [list(dict.fromkeys([*head, *cells[max(0, i - 1) : i + 6]])) for i in range(0, len(cells), 2)]
+        else:
+            kind = "row"
+        return pd.DataFrame({key: part[key].iloc[0], "kind": kind, "at": places[0] + pd.RangeIndex(len(rows)), "text": [" · ".join(r) for r in rows]})
+
+    of = docs.schema[key].dataType.simpleString()
+    shattered = runs.join(long, [key, "run"]).select(key, "run", "pos", "indent", "line").groupBy(key, "run").applyInPandas(rebuild, f"{key} {of}, kind string, at int, text string")
+    return told.unionByName(shattered)

@@ -99,6 +99,11 @@ def reply_triples(s, d):
     return each.withColumn("swallowed", claims.malformed(F.col("subject"), F.col("value")))
 
 
+@query("table_windows")
+def table_windows(s, d):
+    return store.table_windows(table(s, d, "documents"))
+
+
 # ---- gates ----------------------------------------------------------------------------------------------------------
 
 

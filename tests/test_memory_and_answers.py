@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn import seams
+from cairn.functions import text as tx
 from cairn.memory import Memory
 from cairn.operators import answers, claims, identity
+from cairn.streaming import learn
 
 
 def test_memory_learns_asks_and_saves(spark, tmp_path):
@@ -47,6 +49,30 @@ def test_mind_derives_to_saturation(spark):
     assert set(got) == {("a", "d"), ("a", "e"), ("b", "e"), ("c", "e")} and all(r.level == 1 for r in got.values())
 
 
+def test_small_answer_operators(spark):
+    row = spark.range(1).select(
+        tx.without_marks(F.lit("The lamp (~ chat 2025) is #doc:a red")), tx.bare(F.lit("«lamp!»")), answers.shown_span(F.lit("2025-01-01").cast("date"), F.lit("2025-01-03").cast("date")),
+        answers.months_between(F.lit("2024-11-30").cast("date"), F.lit("2025-02-01").cast("date")), seams.prompt(F.lit("a"), F.lit(None).cast("string")),
+        answers.maxsim(F.array(F.array(F.lit(1.0), F.lit(0.0))), F.array(F.array(F.lit(0.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(0.0)))),
+        answers.substance_ok(F.lit("red lamp"), F.lit("which lamp"), F.lit(""), F.lit("")), answers.substance_ok(F.lit("lamp"), F.lit("which lamp"), F.lit(""), F.lit("mill")),
+        answers.field_ok(F.lit("8 bar"), F.lit("what pressure"), F.lit("pressure"), F.lit("pressure 9")),
+    ).first()
+    assert tuple(row) == ("The lamp is red", "lamp", "2 days (3 including the last day)", 3, "FACTS:\na\n\nQUESTION: ", 1.0, True, False, False)
+    ranked = spark.createDataFrame([(1, 1, "s1", "#said", "me"), (1, 2, "s2", "#doc:a", None), (1, 3, "s3", "#doc:b", "me"), (1, 4, "s4", "#said", None), (1, 5, "s5", "#said", None)], "query_id int, rank int, sid string, source string, speaker string")
+    named = spark.createDataFrame([(1, "#doc:b")], "query_id int, source string")
+    assert [r.sid for r in answers.named_first(ranked, named).orderBy("place").collect()] == ["s3", "s2", "s1", "s4"]
+    assert [r.sid for r in answers.speaker_first(ranked, "me").orderBy("rank").collect()] == ["s1", "s3", "s2", "s4", "s5"]
+
+
+def test_stream_of_repeated_events(spark, tmp_path):
+    day = dt.datetime(2025, 1, 1)
+    spark.createDataFrame([("a", day), ("a", day), ("b", day), ("b", day + dt.timedelta(minutes=3))], "k string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, at timestamp").parquet(str(tmp_path / "in"))
+    run = learn.deduplicated_stream(stream, "k", "at").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    assert run.awaitTermination(90)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
 def test_claim_gate(spark):
     edges = spark.createDataFrame([("lamp", "harbour"), ("Ferry", "sea bird colony")], "subject string, value string")
     said = spark.createDataFrame([(1, 0, "Hello."), (1, 1, "The lamp is in the harbour."), (1, 2, "The lamp is in the mill."), (2, 0, "birds"), (3, 0, "my bank")], "answer_id int, pos int, sentence string")

@@ -44,6 +44,56 @@ def test_layout_of_a_shattered_table():
     assert store.anchor_level([0, 4, 4, 4] * 4, 4) == 0
 
 
+def brute_cut(lengths, period, anchors, profile):
+    """The cheapest cost over all ways to cut, by trying each."""
+    loose, n = max(1.0, sum(profile) / len(profile)), len(lengths)
+
+    def rest(i):
+        best = loose * (n - i) if not any(a >= i for a in anchors) else math.inf
+        for w in (period - 1, period, period + 1):
+            inside = sum(i <= a < i + w for a in anchors)
+            if w >= 2 and i + w <= n and inside <= 1:
+                cost = sum(abs(lengths[i + k] - profile[min(k, period - 1)]) for k in range(w)) + loose * (abs(w - period) + (inside == 0))
+                best = min(best, cost + rest(i + w))
+        return best
+
+    return min(loose * i + rest(i) for i in range((anchors[0] if anchors else 0) + 1))
+
+
+def test_rows_are_cut_at_least_cost(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n, period = int(rng.integers(6, 12)), int(rng.integers(2, 4))
+        lengths, anchors = rng.integers(1, 9, n).tolist(), sorted(rng.choice(n, 2, replace=False).tolist())
+        profile = rng.integers(1, 9, period).astype(float)
+        assert store._Run(lengths, period, anchors).solve(profile)[0] == pytest.approx(brute_cut(lengths, period, anchors, profile.tolist()))
+    # a heading above, and one cell wrapped onto a second line
+    rows = [["Pump", "8 bar and more", "12", "red"], ["Hose", "6 bar at noon", "14", "blue"], ["Tank", "9 bar by night", "7", "long text", "wrapped"], ["Lamp", "3 bar in rain", "21", "grey"], ["Mill", "5 bar of wind", "30", "green"]]
+    cells = ["List", *(c for r in rows for c in r)]
+    anchors = [i for i, c in enumerate(cells) if c in {r[0] for r in rows}]
+    assert store.cut_rows(cells, 4, anchors) == rows
+
+
+def test_tables_of_texts(spark):
+    body = "\n".join(x for i in range(5) for x in (f"Part{chr(97 + i)}", f"   {i} bar and some more", f"   1{i}", "   red"))
+    long = "\n".join("This is a long line of plain prose that tells much about the harbour and its keeper." for _ in range(4))
+    docs = spark.createDataFrame([(1, f"{long}\n{body}\n{long}"), (2, "name|size|price\n---|---|---\nlamp|3|8\nkettle|4|9"), (3, "a\tb\tc\nd\te\tf\ng\th"), (4, None), (5, "")], "doc_id int, text string")
+    got = {}
+    for r in store.table_windows(docs).orderBy("doc_id", "at").collect():
+        got.setdefault((r.doc_id, r.kind), []).append(r.text)
+    assert got[1, "row"] == [f"Part{chr(97 + i)} · {i} bar and some more · 1{i} · red" for i in range(5)]
+    assert got[2, "delimited"][1:] == ["name: lamp · size: 3 · price: 8", "name: kettle · size: 4 · price: 9"]
+    assert got[3, "delimited"] == ["a · b · c", "d · e · f"]
+
+
+def test_locators_go_and_named_columns_stay(spark):
+    rows = [(1, i, t) for i, t in enumerate(["Harbour 3", "Mill 7", "Ferry 12", "Lamp"])] + [(2, i, t) for i, t in enumerate(["Thing   Page", "Harbour 3", "Mill 7", "Ferry 12"])]
+    got = {(r.doc_id, r.pos): r.line for r in store.without_locators(spark.createDataFrame(rows, "doc_id int, pos int, line string")).collect()}
+    assert [got[1, i] for i in range(4)] == ["Harbour", "Mill", "Ferry", "Lamp"] and [got[2, i] for i in range(1, 4)] == ["Harbour 3", "Mill 7", "Ferry 12"]
+
+
 def test_known_item_retrieval(spark):
     texts = [f"The {a} near {b} was counted on page {i}" for i, (a, b) in enumerate((a, b) for a in ("valve", "kettle", "lantern", "compass") for b in ("saltmere", "tornhafen", "kuzgunca", "oskel"))]
     rows = spark.createDataFrame([(f"1:{i}", "#doc:x" if i % 2 else "#doc:y", t) for i, t in enumerate(texts)], "sid string, source string, sentence string")
