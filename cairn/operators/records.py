@@ -239,6 +239,17 @@ def extremes(measured: DataFrame, least_sources: int = 3) -> DataFrame:
     )
 
 
+def self_clashes(values: DataFrame) -> DataFrame:
+    """AG-12: (source, head, clash): heads under which one source writes several values whose numbers differ.
+
+    ``values``: (source, head, value).
+    """
+    digits = F.array_join(F.regexp_extract_all("value", F.lit(r"\d+"), 0), " ")
+    each = values.filter("source is not null").select("source", "head", "value", digits.alias("d")).filter("d <> ''")
+    found = each.groupBy("source", "head").agg(F.count_distinct("d").alias("n"), F.array_join(F.sort_array(F.collect_set("value")), " ≠ ").alias("clash"))
+    return found.filter("n > 1").select("source", "head", "clash")
+
+
 def compared(values: DataFrame, first: str, second: str) -> DataFrame:
     """AG-12: (head, sign, first_values, second_values) for two sources that share a head.
 

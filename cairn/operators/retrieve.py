@@ -39,14 +39,14 @@ def stem_groups(queries: DataFrame) -> DataFrame:
 
 
 def word_groups(queries: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((query_id, g), (g, term)): the groups of each query, its words of one root with all vocabulary words of their stem or kin.
+    """((query_id, g, root), (g, term)): the groups of each query, its words of one root with all vocabulary words of their stem or kin.
 
     Queries of one wording share their groups: ``g`` is the hash of a group's terms, so a group's lines are read once.
     """
     terms = query_words(queries, vocabulary).join(stem_groups(queries), ["query_id", "word"]).select("query_id", "root", "term").distinct()
     listed = terms.groupBy("query_id", "root").agg(F.sort_array(F.collect_list("term")).alias("terms")).withColumn("g", F.xxhash64("terms"))
-    grouped = checkpointed(listed.select("query_id", "g", "terms"))
-    return grouped.select("query_id", "g").distinct(), grouped.select("g", F.explode("terms").alias("term")).distinct()
+    grouped = checkpointed(listed.select("query_id", "g", "root", "terms"))
+    return grouped.select("query_id", "g", "root"), grouped.select("g", F.explode("terms").alias("term")).distinct()
 
 
 def scored(
@@ -66,6 +66,7 @@ def scored(
     scored in full.  No line that reaches the bound is left out.
     """
     of_query, terms = word_groups(queries, post)
+    of_query = of_query.select("query_id", "g").distinct()
     # (g, sid, source, times): the lines of each different group
     known = terms.select("term").distinct()
     plain = post.join(known, post["word"] == known["term"], "left_semi").select("word", "sid", "source", F.lit(1).alias("times"))
@@ -184,6 +185,30 @@ def census_pair(post: DataFrame, words: list[str]) -> DataFrame:
     return pairs.orderBy(F.col("sources").desc(), "lines", "word", "other").limit(1)
 
 
+def census(queries: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AG-05: ((query_id, first, second, sources, lines), (query_id, source, lines)): of the words of each query the two whose common lines span most sources.
+
+    Of equals the pair with fewer lines, then the first by name; the second table tallies the lines of each source.  The lines of a pair are
+    found from its rarer word, so a frequent word is never joined with another.  Queries whose words share no line have no row.
+    """
+    of_query, terms = word_groups(queries, post)
+    hits = checkpointed(terms.join(post, terms["term"] == post["word"]).select("g", "sid", "source").distinct())
+    held = hits.groupBy("g").agg(F.count(F.lit(1)).alias("held"))
+    known = of_query.join(held, "g")
+    a, b = (known.select("query_id", F.col("g").alias(f"g{i}"), F.col("root").alias(f"root{i}"), F.col("held").alias(f"held{i}")) for i in (1, 2))
+    asked = a.join(b, "query_id").filter("root1 < root2")
+    rare, other = (F.when(F.col("held1") <= F.col("held2"), F.col(x)).otherwise(F.col(y)) for x, y in (("g1", "g2"), ("g2", "g1")))
+    asked = checkpointed(asked.select("query_id", "root1", "root2", rare.alias("rare"), other.alias("other")))
+    pairs = asked.select("rare", "other").distinct()
+    met = pairs.join(hits.withColumnRenamed("g", "rare"), "rare").join(hits.select(F.col("g").alias("other"), "sid"), ["other", "sid"])
+    met = checkpointed(met.groupBy("rare", "other", "source").agg(F.count_distinct("sid").alias("lines")))
+    sizes = met.groupBy("rare", "other").agg(F.count(F.lit(1)).alias("sources"), F.sum("lines").alias("lines"))
+    best = asked.join(sizes, ["rare", "other"]).groupBy("query_id").agg(F.min(F.struct((-F.col("sources")).alias("s"), "lines", "root1", "root2", "rare", "other")).alias("b"))
+    pair = best.select("query_id", F.col("b.root1").alias("first"), F.col("b.root2").alias("second"), (-F.col("b.s")).alias("sources"), F.col("b.lines").alias("lines"))
+    tally = best.select("query_id", "b.rare", "b.other").join(met, ["rare", "other"]).select("query_id", "source", "lines")
+    return pair, tally
+
+
 def rrf(rankings: DataFrame) -> DataFrame:
     """RK-09: (key, score, place) of rankings (key, rank): summed 1/(60+rank), ties by key."""
     fused = rankings.groupBy("key").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score"))

@@ -79,16 +79,36 @@ def days_between(a: Column, b: Column) -> Column:
     return F.abs(F.datediff(a, b))
 
 
-def verified_sum(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """AG-09: (total): the sum of amounts that a line holds verbatim, each (amount, item) once.
+NUMBER = r"\d+(?:[.,]\d+)?"
+
 
-    ``items``: (item, amount_text).  The join is on the number's token, with the verbatim test behind it.
+def homes(items: DataFrame, lines: DataFrame) -> DataFrame:
+    """JN-07: (item, amount_text, value, sid): the first line that holds an amount verbatim and a word of its item.
+
+    ``items``: (item, amount_text) as read by an engine, each with exactly one number, others fall away.  The join is on the number's token, the
+    verbatim test and the item's words, up to their endings, come behind it; an item without words needs the amount alone.
     """
-    token = lines.select("sid", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"\d+(?:[.,]\d+)?"), 0))).alias("number"))
-    wanted = items.select("item", "amount_text", F.regexp_extract("amount_text", r"(\d+(?:[.,]\d+)?)", 1).alias("number")).filter("number <> ''")
-    home = wanted.join(token, "number").filter(F.contains("sentence", F.col("amount_text"))).select("item", "amount_text", "number").distinct()
+    token = lines.select("sid", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(NUMBER), 0))).alias("number"))
+    numbers = F.regexp_extract_all("amount_text", F.lit(NUMBER), 0)
+    plain = F.filter(tx.words(F.coalesce("item", F.lit(""))), lambda w: ~tx.is_number(w))
+    wanted = items.select("item", "amount_text", numbers.alias("n"), plain.alias("iw")).filter(F.size("n") == 1).select("item", "amount_text", "iw", F.get("n", 0).alias("number"))
+    met = wanted.join(token, "number").filter(F.contains("sentence", F.col("amount_text")))
+    about = tx.let(tx.words(F.col("sentence")), lambda w: F.exists("iw", lambda i: tx.stem_held(i, w)))
+    held = met.filter((F.size("iw") == 0) | about)
     value = F.replace("number", F.lit(","), F.lit(".")).cast("double")
-    return home.agg(F.round(F.sum(value), 2).alias("total"))
+    return held.groupBy("item", "amount_text", value.alias("value")).agg(F.min("sid").alias("sid"))
+
+
+def verified_sum(items: DataFrame, lines: DataFrame) -> DataFrame:
+    """AG-09: (total, shown): the sum of amounts that have a home line, each value once for the words of its item.
+
+    A whole total is shown as an integer, another with two decimals; no amount gives a null row.
+    """
+    words = F.array_join(F.array_sort(F.array_distinct(tx.words(F.coalesce("item", F.lit(""))))), " ")
+    once = homes(items, lines).select("value", words.alias("words")).distinct()
+    total = once.agg(F.round(F.sum("value"), 2).alias("total"))
+    shown = F.when(F.col("total") == F.floor("total"), F.floor("total").cast("string")).otherwise(F.format_string("%.2f", "total"))
+    return total.select("total", F.when(F.col("total").isNotNull(), shown).alias("shown"))
 
 
 def run(plan: str, lines: DataFrame, now: Column | None = None, want: tuple[str, ...] | None = None, read: bool = True) -> DataFrame | None:

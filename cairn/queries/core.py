@@ -660,7 +660,7 @@ def plan_amounts(s, d):
 
 
 @query("verified_sum", r"""WITH l AS (SELECT o_orderkey AS sid, 'order ' || o_orderkey || ' came to ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' crowns' AS sentence FROM orders), i AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS item, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS a FROM orders)
-SELECT round(sum(CAST(a AS DOUBLE)), 2) AS total FROM i""")
+SELECT round(sum(CAST(a AS DOUBLE)), 2) AS total, CAST(CAST(sum(CAST(a AS DOUBLE)) AS BIGINT) AS VARCHAR) AS shown FROM i""")
 def verified_sum(s, d):
     o = table(s, d, "orders").withColumn("a", F.floor("o_totalprice").cast("bigint").cast("string"))
     l = o.select(F.col("o_orderkey").alias("sid"), F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" came to "), F.col("a"), F.lit(" crowns")).alias("sentence"))

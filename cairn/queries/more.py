@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as tx
 from cairn.operators import answers, check, claims, entities, identity, records, retrieve, store
 from cairn.queries import sql
-from cairn.queries.core import _PLACES, ASKED, ORACLE, _NAME, asked, dated, graph, lines, pairs, places, query, sentences, sound, unique_lines
+from cairn.queries.core import _FIND, _PLACES, ASKED, ORACLE, _NAME, asked, dated, graph, lines, pairs, places, query, sentences, sound, unique_lines
 from cairn.session import checkpointed, table
 from cairn.sources import readers
 from cairn.streaming import learn
@@ -104,6 +104,22 @@ def table_windows(s, d):
     return store.table_windows(table(s, d, "documents"))
 
 
+_CENSUS = _FIND + """, ch AS (SELECT DISTINCT query_id, root, sid, source FROM hits),
+cp AS (SELECT a.query_id, a.root AS first_word, b.root AS second_word, count(DISTINCT a.source) AS sources, count(DISTINCT a.sid) AS lines FROM ch a JOIN ch b ON a.query_id = b.query_id AND a.sid = b.sid AND a.root < b.root GROUP BY 1, 2, 3),
+cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sources DESC, lines, first_word, second_word) AS n FROM cp) WHERE n = 1)
+"""
+
+
+@query("census_of_questions", _CENSUS + 'SELECT query_id, first_word AS "first", second_word AS "second", sources, lines FROM cb')
+def census_of_questions(s, d):
+    return retrieve.census(asked(s, d), store.postings(lines(s, d)))[0]
+
+
+@query("census_tally", _CENSUS + "SELECT cb.query_id, a.source, count(DISTINCT a.sid) AS lines FROM cb JOIN ch a ON a.query_id = cb.query_id AND a.root = first_word JOIN ch b ON b.query_id = cb.query_id AND b.root = second_word AND b.sid = a.sid GROUP BY 1, 2")
+def census_tally(s, d):
+    return retrieve.census(asked(s, d), store.postings(lines(s, d)))[1]
+
+
 # ---- gates ----------------------------------------------------------------------------------------------------------
 
 
@@ -304,6 +320,12 @@ def fields_admissible(s, d):
                     answers.field_ok(F.col("said"), F.col("question"), F.lit("pressure"), F.col("gold")).alias("field"), answers.line_admissible(F.col("said"), F.col("gold")).alias("line"))
 
 
+@query("self_clashes", r"WITH" + sql.RECORDS + r""", v AS (SELECT source, subject || '/' || predicate AS head, value, array_to_string(regexp_extract_all(value, '\d+'), ' ') AS d FROM r WHERE source IS NOT NULL)
+SELECT source, head, string_agg(DISTINCT value, ' ≠ ' ORDER BY value) AS clash FROM v WHERE d <> '' GROUP BY 1, 2 HAVING count(DISTINCT d) > 1""")
+def self_clashes(s, d):
+    return records.self_clashes(graph(s, d).select("source", F.concat_ws("/", F.col("subject").cast("string"), F.col("predicate").cast("string")).alias("head"), "value"))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------------
 
 
