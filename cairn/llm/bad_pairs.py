@@ -53,7 +53,7 @@ DENYING = {
     "pt": "=não =nunca =nenhum =nenhuma =nada =sem impossível",
 }
 KNOWING = {
-    "en": "know knew tell told say =said =state =states =stated answer help assist find found recall remember recollect inform record mention idea clue =sure =certain determin confirm verif locat trace evidence data detail access aware familiar cover document specif list line note able about on",
+    "en": "know knew tell told say =said =state =states =stated answer help assist find found recall remember recollect inform record mention idea clue =sure =certain determin confirm verif locat trace evidence data detail access aware familiar cover document specif list line note =able =about",
     "tr": "bilgi kayıt kaydı satır fikr fikir emin iz veri not şey yanıt cevap ipucu söz bahis",
     "es": "=sé sab pued podr poder encontr encuentr consta mencion inform dato record recuerd dic =dijo dicho respond contest respuesta idea segur registr aparec figur ayud hay tengo dispon =contar contad =contó posible",
     "de": "weiß wiss wusst sag gesagt find gefunden beantwort antwort helf helfen erwähn eintrag angabe information ahnung bekannt sicher erinner steht hinweis auskunft notiz daten hervor ersichtlich quelle zeile lässt kann könn",

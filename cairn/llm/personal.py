@@ -251,8 +251,8 @@ def _low(word: str) -> str:
 class _Words:
     """The words of a text with what stands between them; a word that an address sign touches is no name's."""
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, given: frozenset[str] = frozenset()):
+        self.text, self.more = text, given
         self.at = [m.span() for m in _WORD.finditer(text)]
         self.low = [_low(text[a:b]) for a, b in self.at]
 
@@ -292,7 +292,7 @@ class _Words:
         return self.joined(i, breaks=True) or low in _SHORT and self.joined(i, ".", breaks=True)
 
     def given(self, i: int) -> bool:
-        return 0 <= i < len(self.at) and self.low[i] in _GIVEN
+        return 0 <= i < len(self.at) and (self.low[i] in _GIVEN or self.low[i] in self.more)
 
     def family(self, i: int, capital: bool = True) -> bool:
         """A word that may be a family name: long enough, free, no function word, written with a capital where names are."""
@@ -343,13 +343,14 @@ def _name_at(words: _Words, i: int, titled: bool) -> tuple[int, int, int] | None
     return None
 
 
-def names(text: str) -> Iterator[tuple[int, int]]:
-    words = _Words(text)
+def names(text: str, given: frozenset[str] = frozenset()) -> Iterator[tuple[int, int]]:
+    """(start, end) of each person's name; ``given`` are names known besides the fixed ones."""
+    words = _Words(text, given)
     at, n, done = words.at, len(words.at), 0
     # a name begins at a title, a given name, an initial, or a word before a given name or an initial
     starts = set()
     for i, low in enumerate(words.low):
-        if low in _GIVEN:
+        if low in _GIVEN or low in given:
             starts.update((i - 1, i))
         elif low in _TITLES:
             starts.add(i)
@@ -360,7 +361,7 @@ def names(text: str) -> Iterator[tuple[int, int]]:
             continue
         a, b = at[i]
         titled = words.title(i)
-        if not (titled or words.low[i] in _GIVEN or b - a == 1 or words.given(i + 1) or text[b : b + 1] == "," and words.initial(i + 1)):
+        if not (titled or words.given(i) or b - a == 1 or words.given(i + 1) or text[b : b + 1] == "," and words.initial(i + 1)):
             continue
         j = i
         while titled and j + 1 < n:
@@ -380,8 +381,8 @@ def _alone(text: str, start: int, end: int) -> bool:
     return (not before or before[-1] in "\n\r:|;>") and (not after or after[0] in "\n\r|;<,.")
 
 
-def found(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each piece in the source text, in order and free of overlap."""
+def found(text: str | None, given: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each piece in the source text, in order and free of overlap; ``given`` as in ``names``."""
     if not text:
         return []
     read, points = plain(text)
@@ -416,7 +417,7 @@ def found(text: str | None) -> list[tuple[str, int, int]]:
         if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
             lead = len(m[0]) - len(m[0].lstrip())
             spans.append((3, m.start() + lead, m.end()))
-    spans += [(4, *s) for s in names(read)]
+    spans += [(4, *s) for s in names(read, given)]
     out: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []  # in order and apart, so that two neighbours decide
     for kind, start, end in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
@@ -442,15 +443,56 @@ def _last(points: list[tuple[int, int]], end: int) -> int:
     return start + 1
 
 
-def personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def name_evidence(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3, families: int = 2, share: float = 0.5) -> DataFrame:
+    """(word, docs, families, share): words that the corpus itself shows to be given names.
+
+    Family names are what stands behind the known given names and titles.  A capitalised word counts where it stands before or, with a comma,
+    behind one of them; it is a given name if it does so in at least ``least`` texts, with ``families`` different family names, and in more than ``share`` of all places where it
+    stands capitalised before or behind another capitalised word.  The pairs are read and counted in the JVM.
+    """
+    def last(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            read = plain(t)[0] if t else ""
+            out.append(sorted({_low(_WORD.findall(read[a:b])[0 if "," in read[a:b] else -1]) for a, b in names(read) if len(_WORD.findall(read[a:b])) > 1}))
+        return pd.Series(out)
+
+    once = docs.select(key, text).filter(F.col(text).isNotNull()).distinct()
+    known = once.select(F.explode(F.pandas_udf(last, T.ArrayType(T.StringType()))(F.col(text))).alias("family")).distinct()
+    # a word may be the first of one pair and the second of the next, so the text is read from either
+    side = lambda skip: F.regexp_extract_all(F.regexp_replace(text, skip, " "), F.lit(r"(?<![\p{L}'’.@-])(\p{Lu}\p{L}+,? \p{Lu}\p{L}{2,})(?![\p{L}@])"), 1)
+    pairs = once.select(key, F.explode(F.array_distinct(F.concat(side(r"\x00"), side(r"(?<!\p{L})\p{Lu}\p{L}+,? (?=\p{Lu}\p{L}+,? \p{Lu})")))).alias("p"))
+    low = F.lower(F.translate(F.translate("p", "İ", "i"), ",", ""))
+    two = pairs.select(key, F.contains("p", F.lit(",")).alias("turned"), F.split(low, " ").alias("w")).select(
+        key, F.when(F.col("turned"), F.get("w", 1)).otherwise(F.get("w", 0)).alias("word"), F.when(F.col("turned"), F.get("w", 0)).otherwise(F.get("w", 1)).alias("family"))
+    met = two.join(known.withColumn("known", F.lit(1)), "family", "left")
+    counted = met.groupBy("word").agg(
+        F.count_distinct(F.when(F.col("known") == 1, F.col(key))).alias("docs"), F.count_distinct(F.when(F.col("known") == 1, F.col("family"))).alias("families"),
+        F.round(F.avg(F.coalesce("known", F.lit(0)).cast("double")), 6).alias("share"))
+    titles = docs.sparkSession.createDataFrame([(w,) for w in sorted(_TITLES | _ORDINARY)], "word string")
+    return counted.filter((F.col("docs") >= least) & (F.col("families") >= families) & (F.col("share") > share)).join(F.broadcast(titles), "word", "left_anti")
+
+
+#: Most learned names that are sent to the tasks, some megabytes; more raise an error.
+MOST_NAMES = 200_000
+
+
+def personal(docs: DataFrame, key: str = "doc_id", text: str = "text", given: DataFrame | None = None) -> DataFrame:
     """(key, kind, found): each different piece of a document once, exactly as written there.
 
     Null, empty and blank texts have none.  Texts are read whole, each where it lies; only
-    the pieces found are shuffled, to count repeated ones and repeated rows once.
+    the pieces found are shuffled, to count repeated ones and repeated rows once.  ``given`` (word), such as
+    ``name_evidence`` gives, are given names besides the fixed ones.
     """
+    more: frozenset[str] = frozenset()
+    if given is not None:
+        listed = given.select("word").distinct().limit(MOST_NAMES + 1).collect()
+        if len(listed) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} learned names")
+        more = frozenset(r[0] for r in listed)
 
     def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([list({(k, t[a:b]) for k, a, b in found(t)}) if t else [] for t in texts])
+        return pd.Series([list({(k, t[a:b]) for k, a, b in found(t, more)}) if t else [] for t in texts])
 
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("found", T.StringType())]))
     return (

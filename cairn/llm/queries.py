@@ -22,6 +22,7 @@ def queries() -> dict:
         "p6_ids": lambda s, d: tokens.encoded(t(s, d, "documents")),
         "p7_mix": lambda s, d: mixture.mixture(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p8_found": lambda s, d: personal.personal(t(s, d, "documents")),
+        "p8_names": lambda s, d: personal.name_evidence(t(s, d, "documents")),
         "p8_masked": lambda s, d: personal.masked(t(s, d, "documents").select("doc_id", "text")),
         "p7_limits": lambda s, d: mixture.limits(mixture.shares(t(s, d, "documents"), t(s, d, "mix_targets"))),
         "p7_shares": lambda s, d: mixture.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
