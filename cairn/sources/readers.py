@@ -308,6 +308,22 @@ def read_saved_memory(data: bytes) -> dict:
     return json.loads(raw)
 
 
+def with_preambles(parts: DataFrame) -> DataFrame:
+    """SRC-12: the parts of office files, and for each line 'key: value' above a table a row of the table's name, key and value."""
+    lead = parts.filter(F.col("text").isNotNull() & ~F.col("part").isin("prose", "error")).withColumn("kv", key_values(F.col("text"))).filter(F.size("kv") > 0)
+    keys = F.array_distinct(F.transform("kv", lambda p: p["key"]))
+    values = F.transform(keys, lambda k: F.get(F.filter("kv", lambda p: p["key"] == k), 0)["value"])
+    named = F.map_from_arrays(F.concat(F.array(F.lit("")), keys), F.concat(F.array(F.col("part")), values))
+    return parts.unionByName(lead.select("source", "part", "pos", F.lit(None).cast("string").alias("text"), named.alias("row")))
+
+
+def warnings(parts: DataFrame) -> DataFrame:
+    """SRC-01, SRC-16, SRC-17: (source, warning) of read parts: files that could not be read, and texts that are mostly markup."""
+    failed = parts.filter("part = 'error'").select("source", F.col("text").alias("warning")) if "part" in parts.columns else None
+    marked = parts.filter(F.col("text").isNotNull()).filter(tx.markup_share(F.col("text")) > 0.5).select("source", F.lit("most of the text is markup").alias("warning"))
+    return marked.distinct() if failed is None else failed.unionByName(marked).distinct()
+
+
 def learned(spark: SparkSession, what: str, source: str | None = None) -> DataFrame:
     """SRC-01: (source, pos, text, row) of a file or a text, by the file's extension; an unknown extension is read as text."""
     shape = ["source", "pos", "text", "row"]
@@ -318,7 +334,7 @@ def learned(spark: SparkSession, what: str, source: str | None = None) -> DataFr
     if kind == ".csv":
         out = read_csv(spark, what).withColumn("pos", F.lit(0)).withColumn("text", F.lit(None).cast("string"))
     elif kind in (".xlsx", ".docx", ".pdf"):
-        out = read_office(spark, what)
+        out = with_preambles(read_office(spark, what))
     else:
         out = read_text(spark, what).withColumn("pos", F.lit(0)).withColumn("row", none)
     out = out.select(*shape)

@@ -382,6 +382,13 @@ def test_small_readers(spark):
     assert sorted(map(tuple, found)) == [("Gone", "", ""), ("Lamp", "text", "url")]
 
 
+def test_preambles_become_rows(spark):
+    rows = [("#xlsx:a", "Stock", 0, "Keeper: hut 12 Season: spring", None), ("#docx:b", "prose", 0, "Note: none.", None), ("#pdf:c", "error", 0, "PDF needs a reader", None), ("#text:d", "t", 0, "<b><i><u></u></i></b>x", None)]
+    df = spark.createDataFrame(rows, "source string, part string, pos int, text string, row map<string,string>")
+    assert [r.row for r in readers.with_preambles(df).filter("row is not null").collect()] == [{"": "Stock", "Keeper": "hut 12", "Season": "spring"}]
+    assert {tuple(r) for r in readers.warnings(df).collect()} == {("#pdf:c", "PDF needs a reader"), ("#text:d", "most of the text is markup")}
+
+
 def test_saved_evidence(spark, tmp_path):
     (tmp_path / "m.evidence").write_text(json.dumps([["The boat leaves.", "#doc:a", ""], ["Hello", "#said", "me"]]))
     (tmp_path / "bad.evidence").write_text("[[cut")
