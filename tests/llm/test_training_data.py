@@ -318,3 +318,51 @@ def test_offsets_map_back():
         places = [personal._source(points, i) for i in range(len(read) + 1)]
         assert places == sorted(places) and places[-1] <= len(text)
         assert all(0 <= p <= len(text) for p in places)
+
+
+# wordings that are in no list -------------------------------------------------------------------------------------------
+
+# written for this test alone; the detector knows single words of denial and of knowing, no phrase
+UNSEEN_REFUSALS = [
+    "I have no data on that.", "That isn't something my notes cover.", "Nobody ever told me about it.", "I was never given that detail.", "There is no trace of it here.",
+    "My records don't include this.", "I lack the context to say.", "I'm unable to determine it.", "It can't be confirmed from what I have.", "No source of mine states this.",
+    "I regret I cannot recall that.", "None of the documents specify it.", "Bu konuda hiçbir veri yok.", "Bunu hatırlamıyorum.", "Kaynaklarda belirtilmemiş.", "Maalesef buna ulaşamadım.",
+    "Elimde böyle bir not yok.", "Notlarda böyle bir şeye rastlamadım.", "Kimse bana anlatmadı.", "No recuerdo ese dato.", "Ninguna fuente lo menciona.", "No dispongo de esa información.",
+    "Nadie lo ha dicho.", "Lamentablemente no sabría decirlo.", "Dazu habe ich keine Daten.", "Das geht aus den Notizen nicht hervor.", "Ich erinnere mich nicht daran.",
+    "Leider habe ich keinen Hinweis.", "Niemand hat es mir gesagt.", "Das ist mir nicht bekannt.", "Keine meiner Quellen nennt das.",
+]
+PLAIN_DENIALS = [
+    "The lamp is not red but blue.", "It leaves at noon, not at ten.", "Nothing was sold on Monday.", "No, the valve stands open.", "Kapı açık değil, kapalı.", "No, la caja está llena.",
+    "Nein, das Boot fährt um neun.", "The mill has no roof.", "Der Kessel ist nicht rot.", "She never liked the tea.", "La puerta no es azul.", "Lamba kırmızı değil.",
+]
+
+
+def test_refusals_of_other_words():
+    found = [t for t in UNSEEN_REFUSALS if bad_pairs.is_refusal("What does the mill cost?", t, "eight crowns")]
+    assert len(found) >= 0.9 * len(UNSEEN_REFUSALS)
+    assert not [t for t in PLAIN_DENIALS if bad_pairs.is_refusal("What does the mill cost?", t, "eight crowns")]
+
+
+def test_copied_runs_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        asked, said = ([rng.choice("abcd") for _ in range(rng.randint(1, 9))] for _ in range(2))
+        runs = {tuple(asked[i:j]) for i in range(len(asked)) for j in range(i + 1, len(asked) + 1)}
+        want = [any(i <= k < j and tuple(said[i:j]) in runs for i in range(len(said)) for j in range(i + 2, len(said) + 1)) for k in range(len(said))]
+        hit, longest = bad_pairs.SuffixAutomaton(asked).copied(said)
+        assert hit == want and longest == max((j - i for i in range(len(said)) for j in range(i + 1, len(said) + 1) if tuple(said[i:j]) in runs), default=0)
+
+
+def test_given_names_are_learned(spark):
+    """Names outside the fixed list, shown by the family names that others of the corpus bear."""
+    families = ["Brackwell", "Tornhagen", "Kuzgunlar", "Feranzo"]
+    texts = [f"We met {g} {f} at the mill." for f in families for g in ("Anna", "Peter")]
+    texts += [f"Then {g} {f} came." for g in ("Zorvan", "Quillia") for f in families] + ["Quillia Brackwell and Zorvan Feranzo left.", "The Old Brackwell stands. Old Mill, Old Town, Old Harbour."] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "")], "doc_id long, text string")
+    learned = personal.name_evidence(df)
+    assert {r.word for r in learned.collect()} >= {"zorvan", "quillia"} and not {r.word for r in learned.collect()} & {"then", "old", "met"}
+    lacking = {r.found for r in personal.personal(df).collect()}
+    got = {r.found for r in personal.personal(df, given=learned).collect()}
+    want = {f"{g} {f}" for g in ("Zorvan", "Quillia") for f in families}
+    assert not want & lacking and want <= got
+    assert personal.name_evidence(df.limit(0)).count() == 0
