@@ -333,11 +333,21 @@ def sentences(body: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?…])\s+|\n+", body) if WORD.search(s)]
 
 
+_COLON = re.compile(r"(?<=\w):\s+")
+
+
 def declines(text: str) -> bool:
     """All sentences decline, apologise or ask back, and at least one declines; a colon ends a sentence too."""
-    parts = [p for s in sentences(text) for p in re.split(r"(?<=\w):\s+", s) if WORD.search(p)]
-    said = [_says("refusal", p) for p in parts]
-    return any(said) and all(s or _says("aside", p) or p.rstrip().endswith("?") for s, p in zip(said, parts))
+    declined = False
+    for sentence in sentences(text):
+        for part in _COLON.split(sentence):
+            if not WORD.search(part):
+                continue
+            if _says("refusal", part):
+                declined = True
+            elif not (_says("aside", part) or part.rstrip().endswith("?")):
+                return False  # something is said
+    return declined
 
 
 def is_refusal(question: str, body: str, gold: str | None) -> bool:

@@ -67,18 +67,23 @@ _BRACKETED = re.compile(r"[(\[{<]\s*(?:at|arroba|a|ät|@|dot|punto|punkt|nokta|\
 _SPOKEN_SIGN = re.compile(r"\s(?:dot|punto|punkt|nokta)\s", re.I)
 _CONTROL = re.compile(r"[\x00-\x08]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SPOKEN = frozenset(("dot", "punto", "punkt", "nokta"))
+
+
+@lru_cache(2)
+def _spoken_words(text: str) -> list[str]:
+    """The runs of letters of a text in lower case, for the plain tests; kept for the text at hand."""
+    return _LETTERS.findall(text.lower().replace("i̇", "i"))
 
 
 def _disguised(text: str) -> bool:
-    """A bracketed or spoken sign, or three spelled digits: the plain test before the transducer."""
-    if _BRACKETED.search(text) or _SPOKEN_SIGN.search(text):
+    """A bracketed or spoken sign, or seven spelled digits: the plain test before the transducer."""
+    words = _spoken_words(text)
+    if not _SPOKEN.isdisjoint(words) and _SPOKEN_SIGN.search(text):
+        return True
+    if ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
         return True
-    n = 0
-    for m in _LETTERS.finditer(text.lower()):
-        n += m[0] in _SPELLED
-        if n >= 3:
-            return True
-    return False
+    return sum(map(_SPELLED.__contains__, words)) >= 7
 
 
 _SPOKEN_DOT = regex.compile(r"\s+(?:dot|punto|punkt|nokta)\s+", regex.I)
@@ -159,9 +164,10 @@ def plain(text: str) -> tuple[str, list[tuple[int, int]]]:
     points = [(0, 0)]
     if not text.isascii() or _CONTROL.search(text):
         changed, marks = _changing()
-        if not marks.isdisjoint(text):
+        present = set(text)
+        if not marks.isdisjoint(present):
             text, points = _replace(text, points, ((m.start(), m.end(), _plain_char(m)) for m in _MARKED.finditer(text)))
-        elif signs := "".join(sorted(changed.intersection(text))):
+        elif signs := "".join(sorted(changed.intersection(present))):
             text, points = _replace(text, points, ((m.start(), m.end(), _plain_char(m)) for m in _class_of(signs).finditer(text)))
 
     def undisguised(text: str) -> Iterator[tuple[int, int, str]]:
@@ -206,6 +212,13 @@ _DE = regex.compile(
     rf"(?<!\w)\p{{Lu}}\p{{L}}*(?:{STREETS_DE})[ ]\d{{1,4}}[a-z]?(?=\.(?:\s|$))"
 )
 
+def _sign(kinds: str) -> re.Pattern:
+    """The words of a kind of street in lower case, the plain test before a pattern of addresses."""
+    return re.compile(kinds.lower().replace("\\.?", ""))
+
+
+_EN_SIGN, _TR_SIGN, _ES_SIGN, _DE_SIGN = (_sign(x) for x in (STREETS_AFTER, STREETS_TR, STREETS_ES, STREETS_DE))
+
 _LABEL = r"(?:kimlik|tckn|t\.c\.|steuer|steueridentifikations|ausweis|pass|pasaport|passport|dni|nie|nif|ssn|social[ ]security|insurance|identity|identidad|tax|vergi|sozialversicherung|seguridad[ ]social|cédula|id[ ]card)"
 _LABELLED = regex.compile(_LABEL, regex.I)
 _ID = re.compile(
@@ -232,22 +245,25 @@ _PHONE = regex.compile(
 )
 _CALL = regex.compile(r"(?:tel|phone|call|fax|mobile|cell|line|hattı|ara|llama|teléfono|móvil|ruf|anruf|handy|numara)", regex.I)
 
+@lru_cache(1 << 16)
+def _low(word: str) -> str:
+    return word.casefold().replace("i̇", "i")
+
+
 _ORDINARY = {w.casefold() for words in STOPWORDS.values() for w in words.split()}
-_GIVEN = {g.casefold() for g in GIVEN}
-_TITLES = {t.casefold() for t in TITLES}
+_GIVEN = {_low(g) for g in GIVEN}
+_TITLES = {_low(t) for t in TITLES}
 # Titles that are abbreviations, which alone may be followed by a point.
 _SHORT = set("capt dr dra prof mr mrs ms rev av doç sr sra srta lic ing".split())
+# a title or a given name that letters of two cases spell is met in either
+_STARTING = frozenset(w for g in (_GIVEN, _TITLES) for x in g for w in (x, *_LETTERS.findall(x)))
+_INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 _WORD = regex.compile(r"\p{L}+(?:-\p{L}+)*")
 _GAP = regex.compile(r"[^\S\r\n]*(?:\r?\n)?[^\S\r\n]*")
 _BEFORE_VESSEL = regex.compile(rf"(?<!\w)(?:{VESSELS})\s+(?:[\"“'„«]\s*)?$", regex.I)
 _STREET_AFTER = regex.compile(rf"\s+(?:{STREETS_AFTER}|{STREETS_TR})(?!\w)")
 
 
-@lru_cache(1 << 16)
-def _low(word: str) -> str:
-    return word.casefold().replace("i̇", "i")
-
-
 class _Words:
     """The words of a text with what stands between them; a word that an address sign touches is no name's."""
 
@@ -345,6 +361,9 @@ def _name_at(words: _Words, i: int, titled: bool) -> tuple[int, int, int] | None
 
 def names(text: str, given: frozenset[str] = frozenset()) -> Iterator[tuple[int, int]]:
     """(start, end) of each person's name; ``given`` are names known besides the fixed ones."""
+    spoken = _spoken_words(text)
+    if _STARTING.isdisjoint(spoken) and (not given or given.isdisjoint(spoken)) and not _INITIAL.search(text):
+        return
     words = _Words(text, given)
     at, n, done = words.at, len(words.at), 0
     # a name begins at a title, a given name, an initial, or a word before a given name or an initial
@@ -390,7 +409,10 @@ def found(text: str | None, given: frozenset[str] = frozenset()) -> list[tuple[s
     digits = sum(map(len, re.findall(r"\d+", read)))
     if "@" in read:
         spans += [(0, *m.span()) for m in _EMAIL.finditer(read)]
-    for pattern in (_EN, _TR, _ES, _DE) if digits else ():
+    low = read.lower() if digits else ""
+    for pattern, sign in ((_EN, _EN_SIGN), (_TR, _TR_SIGN), (_ES, _ES_SIGN), (_DE, _DE_SIGN)) if digits else ():
+        if not sign.search(low):
+            continue
         for m in pattern.finditer(read):
             start, end = m.span()
             if m.groupdict().get("t2") and pattern is not _TR:
