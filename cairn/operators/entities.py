@@ -174,6 +174,33 @@ def linked(links: DataFrame, entity: str, most: int = 12) -> DataFrame:
     return both_ways(links).filter(F.col("src") == entity).select(F.col("dst").alias("entity"), "g2").orderBy(F.col("g2").desc(), F.col("entity").desc()).limit(most)
 
 
+def witnesses(found: DataFrame, first: str, second: str, most: int = 4) -> DataFrame:
+    """GR-23: (sid): the lines that carry both ends of an edge, the first by name."""
+    return found.filter(F.col("entity").isin(first, second)).groupBy("sid").agg(F.count_distinct("entity").alias("n")).filter("n = 2").select("sid").orderBy("sid").limit(most)
+
+
+def named_in(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """GR-23: (sid, entity): the longest phrases of the name table in each line; a phrase inside a longer one that the line has is left out."""
+    found = mentions(lines, names).select("sid", "entity").distinct()
+    longer = found.select("sid", F.col("entity").alias("whole"))
+    inside = found.join(longer, "sid").filter((F.col("entity") != F.col("whole")) & F.contains(F.concat(F.lit(" "), "whole", F.lit(" ")), F.concat(F.lit(" "), "entity", F.lit(" "))))
+    return found.join(inside.select("sid", "entity").distinct(), ["sid", "entity"], "left_anti")
+
+
+def meeting_or_bridge(found: DataFrame, chars: DataFrame, entities: list[str]) -> DataFrame:
+    """JN-03: (sid) of the lines that carry all of up to three entities; where none does, of lines that carry one of them and an entity that
+    each of the others shares a line with.  Longest lines first; ``chars``: (sid, chars)."""
+    wanted = sorted(set(entities))[:3]
+    own = found.filter(F.col("entity").isin(*wanted)).select("sid", "entity").distinct()
+    all_ = own.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select("sid")
+    near = own.select("sid", F.col("entity").alias("end")).join(found.select("sid", "entity").distinct(), "sid").filter(~F.col("entity").isin(*wanted))
+    middle = near.groupBy("entity").agg(F.count_distinct("end").alias("n")).filter(F.col("n") == len(wanted)).select("entity")
+    bridge = near.join(middle, "entity", "left_semi").select("sid").distinct()
+    none = all_.agg(F.count(F.lit(1)).alias("met")).filter("met = 0")
+    chosen = all_.unionByName(bridge.join(F.broadcast(none), F.lit(True)).select("sid"))
+    return chosen.join(chars, "sid").orderBy(F.col("chars").desc(), "sid").select("sid")
+
+
 def spread(walk: DataFrame, seeds: DataFrame, steps: int = 3, decay: float = 0.6, most: int = 40) -> DataFrame:
     """RK-14: (entity, weight): the best decayed path from a seed in up to three steps; ``walk``: (src, dst)."""
     reached = seeds.select("entity", F.lit(1.0).alias("weight"))

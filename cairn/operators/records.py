@@ -195,6 +195,27 @@ def gathered(records: DataFrame, most: int = 4) -> DataFrame:
     return spoken.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most)
 
 
+def associated(records: DataFrame, subjects: DataFrame, most: int = 4) -> DataFrame:
+    """GT-19: (subject, record_key, hop, place): the spoken records of a subject and, one hop on, of its values; by trust, then key."""
+    spoken = records.filter((F.col("trust") >= SPEAK) & ~F.isnan("trust") | (F.col("source") == "#inference"))
+    own = subjects.select("subject").distinct().join(spoken, "subject").select("subject", "record_key", "value", "trust", F.lit(0).alias("hop"))
+    text = spoken.select(F.col("subject").cast("string").alias("value"), F.col("record_key").alias("far"), F.col("trust").alias("far_trust")).filter(F.col("far_trust") >= SPEAK)
+    hop = own.join(text, "value").select("subject", F.col("far").alias("record_key"), F.col("far_trust").alias("trust"), F.lit(1).alias("hop"))
+    both = own.select("subject", "record_key", "trust", "hop").unionByName(hop).groupBy("subject", "record_key").agg(F.max("trust").alias("trust"), F.min("hop").alias("hop"))
+    by = Window.partitionBy("subject").orderBy(F.col("trust").desc(), "record_key")
+    return both.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most).select("subject", "record_key", "hop", "place")
+
+
+def recalled(experiences: DataFrame, about: list, most: int = 8) -> DataFrame:
+    """GR-24: the experiences about any of the identities, the most surprising first, then the latest; a top-k."""
+    return experiences.filter(F.arrays_overlap("about", F.array(*(F.lit(x) for x in about)))).orderBy(F.col("surprise").desc(), F.col("at").desc(), "experience_key").limit(most)
+
+
+def weighed(expected: Column, actual: Column) -> Column:
+    """GR-24: the surprise of an outcome, at most 1."""
+    return F.least(F.lit(1.0), F.abs(expected - actual))
+
+
 def lookup(records: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFrame:
     """JN-11: (question_id, value): questions that name exactly one subject and field and meet one value.
 

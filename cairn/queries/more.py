@@ -326,6 +326,29 @@ def self_clashes(s, d):
     return records.self_clashes(graph(s, d).select("source", F.concat_ws("/", F.col("subject").cast("string"), F.col("predicate").cast("string")).alias("head"), "value"))
 
 
+@query("records_associated", "WITH" + sql.RECORDS + """,
+p AS (SELECT record_key, subject, CAST(CASE WHEN record_key % 3 = 0 THEN CAST(predicate AS VARCHAR) ELSE value END AS VARCHAR) AS value, trust FROM g WHERE trust >= 0.4),
+h AS (SELECT subject, record_key, trust, 0 AS hop FROM p UNION ALL SELECT a.subject, b.record_key, b.trust, 1 FROM p a JOIN p b ON a.value = CAST(b.subject AS VARCHAR)),
+m AS (SELECT subject, record_key, max(trust) AS trust, min(hop) AS hop FROM h GROUP BY 1, 2)
+SELECT subject, record_key, hop, place FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY trust DESC, record_key) AS place FROM m) WHERE place <= 4""")
+def records_associated(s, d):
+    """A third of the values point at other subjects, so that there is a hop."""
+    known = sound(s, d).withColumn("value", F.when(F.col("record_key") % 3 == 0, F.col("predicate").cast("string")).otherwise(F.col("value")))
+    return records.associated(known, known).withColumn("place", F.col("place").cast("long"))
+
+
+@query("experiences_recalled", "SELECT event_id AS experience_key, round(least(1.0, abs(value - 50)), 6) AS surprise FROM events WHERE user_id % 10 IN (3, 7) ORDER BY surprise DESC, ts DESC, event_id LIMIT 8")
+def experiences_recalled(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("experience_key"), F.round(records.weighed(F.lit(50.0), F.col("value")), 6).alias("surprise"), F.col("ts").alias("at"), F.array(F.col("user_id") % 10).alias("about"))
+    return records.recalled(e, [3, 7]).select("experience_key", "surprise")
+
+
+@query("entities_named")
+def entities_named(s, d):
+    rows = checkpointed(unique_lines(s, d))
+    return entities.named_in(rows, entities.collocations(rows).select(F.col("gram").alias("entity")))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------------
 
 

@@ -5,10 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cairn import seams
+from cairn import conversation, seams
 from cairn.functions import text as tx
 from cairn.memory import Memory
-from cairn.operators import answers, claims, identity
+from cairn.operators import answers, claims, entities, identity
 from cairn.streaming import learn
 
 
@@ -73,6 +73,59 @@ def test_stream_of_repeated_events(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
+def test_engine_retries_and_remembers():
+    calls = []
+
+    def call(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise OSError("down")
+        return prompt.upper()
+
+    engine = conversation.Engine(call, wait=0.01, remembered=1)
+    assert engine("a") == "A" and engine("a") == "A" and len(calls) == 3
+    assert engine("b") == "B" and engine("a") == "A" and len(calls) == 5  # one prompt is remembered
+    with pytest.raises(conversation.EngineTimeout):
+        conversation.Engine(lambda p: 1 / 0, wait=5, budget=0.1)("x")
+    with pytest.raises(ZeroDivisionError):
+        conversation.Engine(lambda p: 1 / 0, tries=1)("x")
+
+
+def test_replies_are_read(spark):
+    df = spark.createDataFrame([(1, 'Sure: {"answer": "8 bar", "lines": [1, 3, 2, 4]} ok'), (2, "none"), (3, None), (4, '{"answer": "x", "lines": 2}')], "i int, r string")
+    got = {r.i: (r.q.said, r.q.held) for r in df.select("i", conversation.quoted_reply(F.col("r")).alias("q")).collect()}
+    assert got == {1: ("8 bar", [0, 2, 1]), 2: (None, None), 3: (None, None), 4: ("x", [1])}
+    row = spark.range(1).select(conversation.listed_reply(F.lit("1. lamp\n- kettle, lamp\n")), conversation.verdict_reply(F.lit("Yes, it is.")), conversation.verdict_reply(F.lit("maybe")), conversation.shape(F.lit(" Count ")), conversation.shape(F.lit("x"))).first()
+    assert tuple(row) == (["lamp", "kettle"], True, None, "count", "none")
+
+
+def test_turns_keep_their_scope(spark):
+    rows = spark.createDataFrame([("1", "#doc:harbour guide", "The boat leaves at noon."), ("2", "#doc:mill notes", "The boat of the mill is red."), ("3", "#doc:mill notes", "Kettle: 8 crowns.")], "sid string, source string, sentence string")
+    turns = spark.createDataFrame([(1, 1, "user", "When leaves the boat in the harbour guide?", None), (1, 2, "assistant", "At noon.", None), (1, 3, "user", "What colour has the boat?", None), (1, 4, "user", "tell of the boat", "material"), (2, 1, "user", "zzz", None)],
+                                  "conv_id int, turn int, role string, text string, shape string")
+    told = spark.createDataFrame([(1, 1, ["#doc:harbour guide"])], "conv_id int, turn int, sources array<string>")
+    assert {(r.conv_id, r.turn): r.scope for r in conversation.scopes(turns, told, rows).collect()} == {(1, 1): ["#doc:harbour guide"], (1, 3): ["#doc:harbour guide"], (1, 4): [], (2, 1): []}
+    none = spark.createDataFrame([], "entity string, field string, value string")
+    got = {(r.conv_id, r.turn): r for r in conversation.respond(rows, turns, none, told).collect()}
+    assert got[1, 3].answer == "The boat leaves at noon." and got[1, 3].mark == "(~ harbour guide)" and got[2, 1].abstained
+    assert [r.sentence for r in conversation.said_rows(turns).filter("sid = 'said:1:3'").collect()] == ["What colour has the boat?"]
+    laid = conversation.material(rows, spark.createDataFrame([(1, "kettle")], "brief_id int, topic string"))
+    assert {r.line for r in laid.collect()} >= {"Kettle: 8 crowns."}
+    drafts = spark.createDataFrame([(1, 0, "the Kettle costs 8"), (1, 1, "the Kettle costs 9"), (1, 2, "so it stands")], "brief_id int, pos int, line string")
+    assert [r.text for r in conversation.composed(drafts, laid).collect()] == ["the Kettle costs 8\nso it stands"]
+
+
+def test_entity_lookups(spark):
+    found = spark.createDataFrame([("1", "a", "lamp post"), ("1", "a", "red mill"), ("2", "a", "lamp post"), ("2", "a", "blue boat"), ("3", "b", "blue boat"), ("3", "b", "old keeper")], "sid string, source string, entity string")
+    assert [r.sid for r in entities.witnesses(found, "lamp post", "red mill").collect()] == ["1"]
+    chars = spark.createDataFrame([("1", 9), ("2", 5), ("3", 7)], "sid string, chars int")
+    assert [r.sid for r in entities.meeting_or_bridge(found, chars, ["lamp post", "red mill"]).collect()] == ["1"]
+    assert [r.sid for r in entities.meeting_or_bridge(found, chars, ["lamp post", "old keeper"]).collect()] == ["3", "2"]
+    lines = spark.createDataFrame([("1", "a", ["the", "old", "lamp", "post", "stands"])], "sid string, source string, toks array<string>")
+    names = spark.createDataFrame([("lamp post",), ("old lamp post",), ("stands",)], "entity string")
+    assert {r.entity for r in entities.named_in(lines, names).collect()} == {"old lamp post", "stands"}
+
+
 def test_claim_gate(spark):
     edges = spark.createDataFrame([("lamp", "harbour"), ("Ferry", "sea bird colony")], "subject string, value string")
     said = spark.createDataFrame([(1, 0, "Hello."), (1, 1, "The lamp is in the harbour."), (1, 2, "The lamp is in the mill."), (2, 0, "birds"), (3, 0, "my bank")], "answer_id int, pos int, sentence string")
